@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "packing", "warc", "toxicity")
+MODULES = ("ann", "toxicity", "neardup", "bpe", "warc", "packing")
 
 
 def queries() -> dict:
