@@ -171,25 +171,37 @@ def set_hashes(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-def binary(parts: list[np.ndarray]) -> pa.Array:
-    return pa.array([p.tobytes() for p in parts], pa.binary())
+def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins and ends among ascending keys.  A bucket is a range of keys."""
+    return np.searchsorted(((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
 
 
-def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order that sorts the keys by bucket, and bounds of the buckets in it.  A bucket is a range of keys."""
-    bucket = bucket_of(keys, buckets)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers by place, so that codecs find the many zeros of the high places together."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+def from_planes(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def arrow_batches(spark, rows: int = 2000) -> None:
-    """Bounds the Arrow batches by rows and, where this Spark can, by bytes, unless the session has smaller ones."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def packed(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers as the planes of their differences."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(raw, np.uint64), dtype=np.uint64)
+
+
+def arrow_batches(spark, rows: int = 2000, size: int = 32 << 20) -> None:
+    """Bounds the session's Arrow batches by rows and bytes, unless it has smaller bounds: a batch of long texts stays small."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        if now is None or not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def buckets_of(spark) -> int:

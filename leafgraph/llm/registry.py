@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ann", "toxicity", "neardup", "bpe", "warc", "packing")
+MODULES = ("ann", "toxicity", "jaccard", "neardup", "bpe", "warc", "packing")
 
 
 def queries() -> dict:
