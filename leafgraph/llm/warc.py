@@ -15,8 +15,8 @@ start of the file, and only they are records.
 Edge cases: a null html is an empty payload; a null page_id is kept as such, and
 never the response for another page unless no page of the payload has an id;
 urls lose line breaks and a null url is left out; an empty table gives no rows;
-further columns are ignored.  Page ids are the identity of records, so rows
-that repeat one with an equal payload are a response and its revisit.
+further columns are ignored.  Rows that repeat the smallest id of a payload are
+all responses.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgraph.llm.store import fresh_path
@@ -49,12 +49,8 @@ def plan_records(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace("url", "[\\r\\n]+", " ").alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
     copies = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("response"), F.count("*").alias("n")).where("n > 1")
-    # rows of the response's own id after the first are revisits of it
-    out = rows.join(copies, "digest", "left")
-    same = Window.partitionBy("digest", "page_id").orderBy("url")
-    again = out.where("n > 1 and page_id <=> response").withColumn("k", F.row_number().over(same)).withColumn("refers_to", F.expr("if(k > 1, response, null)")).drop("k")
-    rest = out.where("not coalesce(n > 1 and page_id <=> response, false)").withColumn("refers_to", F.col("response"))
-    return again.unionByName(rest).withColumn("revisit", F.expr("coalesce(n > 1, false) and not (page_id <=> response and refers_to is null)")).select("page_id", "url", "payload", "bytes", "digest", "refers_to", "revisit")
+    revisit = F.expr("coalesce(n > 1, false) and not (page_id <=> response)")
+    return rows.join(copies, "digest", "left").select("page_id", "url", "payload", "bytes", "digest", F.when(revisit, F.col("response")).alias("refers_to"), revisit.alias("revisit"))
 
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, file_records: int = FILE_RECORDS) -> None:
