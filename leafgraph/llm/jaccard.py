@@ -10,9 +10,8 @@
    lead to nothing, so a document with enough of those is done.
 3. What shares such an n-gram, at a size that fits, is one block.  Blocks are
    split into tiles of bounded total size, and pairs of tiles are the units.
-4. In a unit the sets, ordered by hash, form a compressed trie.  Each set walks
-   it once for all others, sharing the overlap of common beginnings; a subtree
-   is left when the remaining lengths cannot reach the threshold any more, or
+4. In a unit the sets, ordered by hash, form a compressed trie.  The sets
+   walk it together, sharing the overlap of common beginnings; a set leaves a subtree when the remaining lengths cannot reach the threshold any more, or
    when all of it is in the set's component already.
 5. The links found, a spanning forest of each unit, join the classes.
 
@@ -38,12 +37,12 @@ from leafgraph.llm.store import stored
 
 #: Sets at least this large are looked at in a range of the hashes only.
 LARGE_SET = 256
-#: N-grams in a tile.
-TILE = 400_000
+#: N-grams and sets in a tile.
+TILE, TILE_SETS = 120_000, 800
 
 _LEVELS = np.array([0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A], np.uint64)
 _ROWS = "kind int, bucket int, level int, doc_id long, n long, m long, set_hash binary, keys binary, owners binary, docs binary"
-_FOUND = "kind int, level int, doc_id long, n long, m long, set_hash binary, tokens array<long>, counts array<int>"
+_FOUND = "kind int, level int, doc_id long, n long, m long, set_hash binary, token long, frequency int"
 
 
 def needed(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -95,10 +94,10 @@ _TYPES = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split
 
 
 def gather(table: pa.Table) -> pa.Table:
-    """The documents' rows, and for each document the n-grams of the bucket that other documents have too, with their frequencies."""
+    """The documents' rows, and a row for each n-gram of a document that other documents have too, with its frequency."""
     kind = table["kind"].to_numpy()
     plain = table.filter(pa.array(kind > 0)).select(["kind", "level", "doc_id", "n", "m", "set_hash"])
-    parts = [plain.append_column("tokens", pa.nulls(len(plain), pa.list_(pa.int64()))).append_column("counts", pa.nulls(len(plain), pa.list_(pa.int32())))]
+    parts = [plain.append_column("token", pa.nulls(len(plain), pa.int64())).append_column("frequency", pa.nulls(len(plain), pa.int32()))]
     blobs = table.filter(pa.array(kind == 0))
     for level in (0, 1):
         mine = blobs.filter(pa.array(blobs["level"].to_numpy() == level)) if len(blobs) else blobs
@@ -114,12 +113,8 @@ def gather(table: pa.Table) -> pa.Table:
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         counts = np.repeat(np.diff(np.r_[first, len(keys)]), np.diff(np.r_[first, len(keys)])).astype(np.int32)
         keys, docs, counts = keys[counts > 1], docs[counts > 1], counts[counts > 1]
-        order = np.argsort(docs, kind="stable")
-        keys, docs, counts = keys[order], docs[order], counts[order]
-        first = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.zeros(0, np.int64)
-        at = pa.array(np.r_[first, len(docs)], pa.int32())
-        empty = lambda t, k=len(first): pa.nulls(k, t)
-        parts.append(pa.table({"kind": pa.array(np.zeros(len(first)), pa.int32()), "level": pa.array(np.full(len(first), level), pa.int32()), "doc_id": docs[first], "n": empty(pa.int64()), "m": empty(pa.int64()), "set_hash": empty(pa.binary()), "tokens": pa.ListArray.from_arrays(at, pa.array(keys.view(np.int64))), "counts": pa.ListArray.from_arrays(at, pa.array(counts))}))
+        empty = lambda t, k=len(keys): pa.nulls(k, t)
+        parts.append(pa.table({"kind": pa.array(np.zeros(len(keys)), pa.int32()), "level": pa.array(np.full(len(keys), level), pa.int32()), "doc_id": docs, "n": empty(pa.int64()), "m": empty(pa.int64()), "set_hash": empty(pa.binary()), "token": keys.view(np.int64), "frequency": counts}))
     return pa.concat_tables(parts)
 
 
@@ -154,34 +149,47 @@ class SetTrie:
                 low = last
         return top[0]
 
-    def reaches(self, overlap: int, n: int, size: int) -> bool:
-        return (self.num + self.den) * overlap >= self.num * (n + size)
-
-    def links(self) -> tuple[np.ndarray, list[tuple[int, int]]]:
-        """Each set's root in its component, and the links of a spanning forest, by lexicographic place."""
-        root, found = np.arange(len(self.sets)), []
-        members = {i: [i] for i in range(len(self.sets))}
-        for q, own in enumerate(self.sets):
-            n, work = len(own), [(self.root, 0, 0)]
-            while work:
-                node, overlap, p = work.pop()
-                segment, depth, low, high, least, largest, ends, children = node
-                if largest * self.den < self.num * n or least * self.num > self.den * n or (root[low:high] == root[q]).all():
-                    continue
-                if len(segment):
-                    at = p + np.searchsorted(own[p:], segment)
-                    overlap += int((own[np.minimum(at, n - 1)] == segment)[at < n].sum())
-                    p = int(np.searchsorted(own, segment[-1], "right"))
-                if not self.reaches(overlap + min(n - p, (size := min(max(depth + n - p, least), largest)) - depth), n, size):
-                    continue
-                for d in ends:
-                    if root[d] != root[q] and self.reaches(overlap, n, int(self.sizes[d])):
+    def links(self) -> list[tuple[int, int]]:
+        """The links of a spanning forest, by lexicographic place.
+
+        All sets walk the trie together: a node holds those that are still in it with their overlaps so far, so a
+        segment is met once for all of them.
+        """
+        m, sizes, num, den = len(self.sets), self.sizes, self.num, self.den
+        tokens, rank, df = np.unique(np.concatenate(self.sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(m), sizes)
+        column = np.where(df > 1, np.cumsum(df > 1) - 1, -1)  # only these can be shared
+        holds = np.zeros((int((df > 1).sum()), m), np.uint8)
+        holds[column[rank][column[rank] >= 0], owner[column[rank] >= 0]] = 1
+        places, first = owner * len(tokens) + rank, np.cumsum(sizes) - sizes
+        root, found = np.arange(m), []
+        work = [(self.root, np.arange(m), np.zeros(m, np.int64), 0)]
+        while work:
+            node, who, overlap, at = work.pop()
+            segment, depth, low, high, least, largest, ends, children = node
+            ok = (largest * den >= num * sizes[who]) & (least * num <= den * sizes[who])
+            if (root[low:high] == root[low]).all():
+                ok &= root[who] != root[low]
+            who, overlap = who[ok], overlap[ok]
+            if len(segment) and len(who):
+                mine = np.searchsorted(tokens, segment)
+                cols = column[mine]
+                overlap = overlap + holds[cols[cols >= 0]][:, who].sum(0, dtype=np.int64)
+                at = int(mine[-1]) + 1
+            n = sizes[who]
+            left = n - (np.searchsorted(places, who * len(tokens) + at) - first[who])
+            size = np.clip(depth + left, least, largest)
+            ok = (num + den) * (overlap + np.minimum(left, size - depth)) >= num * (n + size)
+            who, overlap, n = who[ok], overlap[ok], n[ok]
+            if not len(who):
+                continue
+            for d in ends:
+                for q in who[(num + den) * overlap >= num * (n + sizes[d])].tolist():
+                    if root[q] != root[d]:
                         found.append((q, d))
-                        a, b = sorted((int(root[q]), int(root[d])), key=lambda r: -len(members[r]))
-                        root[members[b]] = a
-                        members[a] += members.pop(b)
-                work += [(child, overlap, p) for child in children]
-        return root, found
+                        root[root == root[q]] = root[d]
+            work += [(child, who, overlap, at) for child in children]
+        return found
 
 
 def compare(width: int, num: int, den: int):
@@ -201,7 +209,7 @@ def compare(width: int, num: int, den: int):
                 continue
             trie = SetTrie([np.frombuffer(s, ">u8").astype(np.uint64) for s in some], num, den)
             names = [some[s.astype(">u8").tobytes()] for s in trie.sets]
-            for x, y in trie.links()[1]:
+            for x, y in trie.links():
                 a.append(names[x])
                 b.append(names[y])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -218,19 +226,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     found = stored(scatter(docs, width, num, den, buckets).groupBy("bucket").applyInArrow(gather, _FOUND), "jaccard")
     all_docs = found.where("kind = 1").select("doc_id", "n", "set_hash")
     classes = all_docs.where("n > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"))
-    shared = found.where("kind = 0").select("doc_id", "level", "tokens", "counts")
-    held = shared.groupBy("doc_id", "level").agg(F.sum(F.size("tokens")).alias("shared"))
+    shared = found.where("kind = 0").select("doc_id", "level", "token", "frequency")
+    held = shared.groupBy("doc_id", "level").agg(F.count("*").alias("shared"))
     looked = found.where("kind = 2").select("doc_id", "level", "n", "m", "set_hash").join(classes, ["set_hash", "doc_id"]).join(held, ["doc_id", "level"])
     looked = looked.withColumn("take", F.expr(f"n - ceil({num} * n / {den}) + 1 - (m - shared)")).where("take > 0").select("doc_id", "level", "n", "take").distinct()
-    order = Window.partitionBy("doc_id", "level").orderBy("x.counts", "x.tokens")
-    tokens = shared.join(looked, ["doc_id", "level"]).select("doc_id", "level", "n", "take", F.explode(F.arrays_zip("tokens", "counts")).alias("x"))
-    tokens = tokens.withColumn("k", F.row_number().over(order)).where("k <= take").select(F.col("x.tokens").alias("token"), "level", "doc_id", "n")
+    order = Window.partitionBy("doc_id", "level").orderBy("frequency", "token")
+    tokens = shared.join(looked, ["doc_id", "level"]).withColumn("k", F.row_number().over(order)).where("k <= take").select("token", "level", "doc_id", "n")
     # by size, each is tied to the one before if the sizes allow a link; if they don't, none across does
     before = Window.partitionBy("token", "level").orderBy("n", "doc_id")
     ties = tokens.select("doc_id", "n", F.lag("doc_id").over(before).alias("b"), F.lag("n").over(before).alias("m")).where(f"b is not null and {num} * n <= {den} * m")
     blocks = stored(components(ties.select(F.col("doc_id").alias("a"), "b")).select(F.col("id").alias("doc_id"), F.col("component").alias("block")), "jaccard-blocks")
     sizes = all_docs.select("doc_id", "n").dropDuplicates(["doc_id"])
-    tiles = blocks.join(sizes, "doc_id").groupBy("block").agg(F.ceil(F.sum("n") / tile).cast("int").alias("tiles"))
+    tiles = blocks.join(sizes, "doc_id").groupBy("block").agg(F.greatest(F.ceil(F.sum("n") / tile), F.ceil(F.count("*") / TILE_SETS)).cast("int").alias("tiles"))
     placed = blocks.join(tiles, "block").withColumn("t", F.pmod(F.xxhash64("doc_id"), "tiles").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     alone = placed.where("tiles = 1").select("doc_id", "block", F.pmod(F.xxhash64("block"), F.lit(4 * buckets)).alias("x"), F.lit(-1).alias("y"), F.lit(-1).alias("z"))
