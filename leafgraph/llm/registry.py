@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ann", "toxicity", "jaccard", "neardup", "suffixes", "bpe", "licenses", "warc", "packing")
+MODULES = ("ann", "katz", "toxicity", "jaccard", "neardup", "suffixes", "bpe", "licenses", "warc", "packing")
 
 
 def queries() -> dict:
