@@ -48,10 +48,12 @@ class Trie:
         self.root: dict = {}
         self.heads: dict[int, set[str]] = {}
         self.tails: dict[int, set[str]] = {}
+        self.swapped: set[str] = set()
         for term in sorted((t for t in weights if len(t) >= 5), key=lambda t: (-weights[t], t))[:fuzzy]:
             node, half = self.root, len(term) // 2
             self.heads.setdefault(half, set()).add(term[:half])
             self.tails.setdefault(len(term) - half, set()).add(term[half:])
+            self.swapped.add(term[: half - 1] + term[half] + term[half - 1] + term[half + 1 :])
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = term
@@ -61,8 +63,8 @@ class Trie:
         """(0, weight) of the term, (1, weight) of the strongest term one edit away, or (-1, 0)."""
         if (got := self.weights.get(token)) is not None:
             return 0, got
-        # one edit leaves the first or the second half of a term as it is
-        if not 4 <= len(token) <= 40 or not (any(token[:k] in s for k, s in self.heads.items()) or any(token[-k:] in s for k, s in self.tails.items())):
+        # one edit leaves the first or the second half of a term as it is, unless it swaps the letters where they meet
+        if not 4 <= len(token) <= 40 or not (token in self.swapped or any(token[:k] in s for k, s in self.heads.items()) or any(token[-k:] in s for k, s in self.tails.items())):
             return -1, 0.0
         if (got := self.met.get(token)) is None:
             if len(self.met) >= 200_000:
