@@ -9,6 +9,7 @@ empty texts.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -195,7 +196,7 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.cumsum(from_planes(raw, np.uint64), dtype=np.uint64)
 
 
-def arrow_batches(spark, rows: int = 2000, size: int = 32 << 20) -> None:
+def arrow_batches(spark, rows: int = 2000, size: int = 8 << 20) -> None:
     """Bounds the session's Arrow batches by rows and bytes, unless it has smaller bounds: a batch of long texts stays small."""
     for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
         key = f"spark.sql.execution.arrow.{name}"
@@ -204,6 +205,15 @@ def arrow_batches(spark, rows: int = 2000, size: int = 32 << 20) -> None:
             spark.conf.set(key, str(most))
 
 
-def buckets_of(spark) -> int:
-    """How many buckets an exchange has: as many as the session's shuffle partitions, which follow the input."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def buckets_of(spark, times: int = 1) -> int:
+    """How many buckets an exchange has: as many as the session's shuffle partitions, which follow the input, or some times that."""
+    return max(1, times * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def trim() -> None:
+    """Gives memory that freed arrays leave with the allocators back to the system: workers live on after a group."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library keeps its own house

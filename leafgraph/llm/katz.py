@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafgraph.llm.blocks import arrow_batches, bucket_bounds, buckets_of, from_planes, mixed, packed, planes, text_blocks, unpacked, word_hashes
+from leafgraph.llm.blocks import arrow_batches, bucket_bounds, buckets_of, from_planes, mixed, packed, planes, text_blocks, trim, unpacked, word_hashes
 from leafgraph.llm.store import stored
 
 KATZ, ABOVE = 5, 0.05
@@ -98,6 +98,7 @@ def requests(chunks: DataFrame, columns: list[str], make, buckets: int, schema:
                 some = np.flatnonzero(np.diff(cut)).tolist()
                 spans = [slice(cut[i], cut[i + 1]) for i in some]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([row["chunk"]] * len(some), pa.int64()), pa.array([packed(keys[s]) for s in spans], pa.binary()), *(pa.array([planes(v[s]) for s in spans], pa.binary()) for v in values)], names=kinds)
+            trim()
 
     return chunks.select(*columns).mapInArrow(run, schema)
 
@@ -124,6 +125,8 @@ def summed(own: bool):
             reply[order[at[one]]] += np.uint64(1)
         ends = np.cumsum(sizes)
         known = total[total > 0]
+        del order, every, of, counts, keys
+        trim()
         facts = [[int((known == r).sum()) for r in range(1, KATZ + 2)] + [len(known), int(known.sum())]] + [None] * (len(sizes) - 1)
         return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "reply": pa.array([planes(reply[e - n : e]) for n, e in zip(sizes, ends, strict=True)], pa.binary()), "facts": pa.array(facts, pa.list_(pa.int64()))})
 
@@ -174,6 +177,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     spark = docs.sparkSession
     arrow_batches(spark)
     buckets = buckets_of(spark)
+    parts = buckets_of(spark, 4)  # of an exchange, so that a group of it is small
     name = f"leafgraph_chunks_{uuid.uuid4().hex}"
     lay_out(docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held"))).write.format("parquet").bucketBy(buckets, "chunk").saveAsTable(name)
     chunks = spark.table(name)
@@ -184,7 +188,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
             out = out.join(a.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "reply")).alias(f"a{i}")), "chunk", "left")
         return out
 
-    asked = requests(chunks, ["chunk", "keys", "counts"], lambda row: (unpacked(row["keys"]), from_planes(row["counts"], np.uint64)), buckets, "bucket int, chunk long, keys binary, counts binary")
+    asked = requests(chunks, ["chunk", "keys", "counts"], lambda row: (unpacked(row["keys"]), from_planes(row["counts"], np.uint64)), parts, "bucket int, chunk long, keys binary, counts binary")
     unigrams = stored(asked.groupBy("bucket").applyInArrow(summed(False), _REPLY), "katz-unigrams")
     model = Unigrams(facts_of(unigrams))
     counts_of = lambda replies: np.concatenate([from_planes(x, np.uint64) for x in answer(replies)] or [np.zeros(0, np.uint64)])
@@ -193,7 +197,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         pairs = Pairs(*opened(row))
         return pairs.keys, pairs.counts
 
-    asked = requests(chunks, ["chunk", "codes", "sizes", "held", "keys"], pair_request, buckets, "bucket int, chunk long, keys binary, counts binary")
+    asked = requests(chunks, ["chunk", "codes", "sizes", "held", "keys"], pair_request, parts, "bucket int, chunk long, keys binary, counts binary")
     bigrams = stored(asked.groupBy("bucket").applyInArrow(summed(True), _REPLY), "katz-bigrams")
     d = discounts(facts_of(bigrams))
     end_count = int(docs.select(F.coalesce(held_out, F.lit(False)).alias("h")).where("not h").count())  # documents learned from: starts, and ends
@@ -228,7 +232,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "reply": pa.array(reply, pa.binary()), "facts": pa.nulls(len(sizes), pa.list_(pa.int64()))})
 
     joined = with_answers(["codes", "sizes", "held", "keys"], unigrams, bigrams)
-    asked = requests(joined, joined.columns, backoff_request, buckets, "bucket int, chunk long, keys binary, seen binary, back binary, want binary")
+    asked = requests(joined, joined.columns, backoff_request, parts, "bucket int, chunk long, keys binary, seen binary, back binary, want binary")
     backoff = stored(asked.groupBy("bucket").applyInArrow(weigh, _REPLY), "katz-backoff")
 
     def evaluate(batches):
@@ -253,6 +257,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
                 first = np.cumsum(sizes) - sizes
                 base = np.log10((c + 0.5) / (model.total + 0.5 * (model.known + 1)))[codes]
                 yield pa.RecordBatch.from_arrays([pa.array(row["docs"], pa.int64()), pa.array(held > 0), pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((c > 0)[codes].astype(np.int64), first), pa.int64()), pa.array(np.full(len(sizes), int(model.total)), pa.int64()), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(each, first))], names=_NAMES)
+            trim()
 
     out = with_answers(["docs", "codes", "sizes", "held", "keys"], unigrams, bigrams, backoff).mapInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     out = stored(out, "katz-scores")
