@@ -28,7 +28,7 @@ are kept by ``remove_repeats`` (one named like an output is replaced).
 
 from __future__ import annotations
 
-import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,98 +36,124 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafgraph.llm.blocks import arrow_batches, bucket_bounds, buckets_of, longs, mixed, packed, text_blocks, unpacked
+from leafgraph.llm.blocks import arrow_batches, bucket_bounds, buckets_of, longs, mixed, packed, runs, text_blocks, trim, unpacked
 from leafgraph.llm.store import stored
 
 LENGTH, CORE = 50, 20
 SHARD = 2048
+#: Bytes of text looked at together; a block needs about a hundred times that in arrays.
+BLOCK = 2 << 20
 BLOOM_WORDS = 1 << 17
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.ones(max(1, n), np.uint64)
-    out[1:] = base
-    return np.multiply.accumulate(out)
+_LETTERS = mixed(np.arange(1, 257, dtype=np.uint64))
+_POWERS: dict[int, np.ndarray] = {}
 
 
-def window_hashes(data: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
-    """The hashes of all byte strings of each size: random letters, a rolling polynomial, all bits mixed."""
-    letters = mixed(np.arange(1, 257, dtype=np.uint64))[data]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * powers(_BASE, len(data)), dtype=np.uint64)])
-    back = powers(_INVERSE, len(data))
-    return [mixed((sums[k:] - sums[:-k]) * back[: len(data) - k + 1]) if len(data) >= k else np.zeros(0, np.uint64) for k in sizes]
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first powers of the base; those of a usual block are kept."""
+    kept = _POWERS.get(int(base))
+    if kept is None or len(kept) < n:
+        kept = np.full(max(n, 1 << 21), base)
+        kept[0] = 1
+        kept = np.multiply.accumulate(kept)
+        if n <= 1 << 22:
+            _POWERS[int(base)] = kept
+    return kept[:n]
 
 
 def minimizers(data: np.ndarray, offsets: np.ndarray, length: int, core: int) -> tuple[np.ndarray, ...]:
-    """Place, first window, windows, key, context hash and document of every minimizer.
+    """Place, first window, windows, key, context hash, document and sides of every minimizer.
 
     A minimizer's windows are consecutive: those whose leftmost least core is at its place.
     """
     span = length - core + 1  # cores in a window
-    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
+    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64, np.uint32))
     if len(data) < length:
         return empty
-    (h,) = window_hashes(data, (core,))
-    key = (h & ~np.uint64(0xFF)).copy()
+    # rolling polynomial hashes of random letters, all bits mixed
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[data] * powers(_BASE, len(data)), dtype=np.uint64)])
+    back = powers(_INVERSE, len(data))
+    h = mixed((sums[core:] - sums[:-core]) * back[: len(data) - core + 1])
     # sliding minimum of (hash, place): ties go to the left
-    least, place, width = key.copy(), np.arange(len(key)), 1
+    least, place, width = h, np.arange(len(h), dtype=np.int32), 1
     while width < span:
         step = min(width, span - width)
         a, b = least[:-step], least[step:]
         right = b < a
-        least, place = np.where(right, b, a), np.where(right, place[step:], place[:-step])
+        least, place = np.minimum(a, b), np.where(right, place[step:], place[:-step])
         width += step
-    starts = np.arange(len(least))
-    doc = np.searchsorted(offsets, starts, "right") - 1
-    inside = starts + length <= offsets[doc + 1]
-    starts, place, doc = starts[inside], place[inside], doc[inside]
-    if not len(starts):
+    edge = np.ones(len(least), bool)
+    edge[1:] = place[1:] != place[:-1]
+    inside = np.zeros(len(least) + 1, np.int32)  # windows that lie in one document
+    sizes = np.diff(offsets)
+    long = sizes >= length
+    inside[offsets[:-1][long]] = 1
+    np.subtract.at(inside, offsets[:-1][long] + sizes[long] - length + 1, 1)
+    edge[offsets[:-1][long]] = True
+    ok = np.cumsum(inside[:-1]) > 0
+    edge[1:] |= ok[1:] != ok[:-1]
+    first = np.flatnonzero(edge)
+    n = np.diff(np.r_[first, len(least)])
+    first, n = first[ok[first]], n[ok[first]]
+    if not len(first):
         return empty
-    first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])])
-    n = np.diff(np.r_[first, len(starts)])
-    at, low, owner = place[first], starts[first], doc[first]
+    at, owner = place[first].astype(np.int64), np.searchsorted(offsets, first, "right") - 1
     # a context is told by the bytes of all its windows and where its core is
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(np.arange(1, 257, dtype=np.uint64))[data] * powers(_BASE, len(data)), dtype=np.uint64)])
-    context = mixed((sums[low + n - 1 + length] - sums[low]) * powers(_INVERSE, len(data))[low] + (n * 64 + at - low).astype(np.uint64) * _BASE)
-    return at, low, n, mixed(h[at]), context, owner
+    context = mixed((sums[first + n - 1 + length] - sums[first]) * back[first] + (n * 64 + at - first).astype(np.uint64) * _BASE)
+    # 15 bits of what lies left and right of the core, as far as half of what a window holds beside it; the top bit: not so far in the context
+    half = span // 2
+    sides = np.zeros(len(at), np.uint32)
+    for shift, low, there in ((0, at - half, at - half >= first), (16, at + core, at + core + half <= first + n - 1 + length)):
+        low = np.where(there, low, 0)
+        bits = mixed((sums[low + half] - sums[low]) * back[low]) >> np.uint64(49)
+        sides |= np.where(there, bits, 1 << 15).astype(np.uint32) << np.uint32(shift)
+    return at, first, n, mixed(h[at]), context, owner, sides
 
 
-_ENTRIES = "bucket int, keys binary, contexts binary, owners binary, docs binary"
+def pair_keys(key: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """One number for a context of a document in a block."""
+    return mixed(mixed(key + context * _BASE) + doc.astype(np.uint64) * _INVERSE)
+
+
+_ENTRIES = "bucket int, keys binary, contexts binary, sides binary, owners binary, docs binary"
 _STATES = "doc_id long, keys binary, contexts binary, states binary"
 
 
 def scatter(docs: DataFrame, length: int, core: int, buckets: int) -> DataFrame:
     def run(batches):
-        for rows, data, offsets in text_blocks(batches):
+        for rows, data, offsets in text_blocks(batches, limit=BLOCK):
             ids = longs(rows, "doc_id")
-            _, _, _, key, context, owner = minimizers(data, offsets, length, core)
+            _, _, _, key, context, owner, sides = minimizers(data, offsets, length, core)
             order = np.argsort(key, kind="stable")
-            key, context, owner = key[order], context[order], owner[order]
+            key, context, owner, sides = key[order], context[order], owner[order], sides[order]
             cut = bucket_bounds(key, buckets)
             some = np.flatnonzero(np.diff(cut)).tolist()
             parts = []
             for b in some:
                 there, index = np.unique(owner[cut[b] : cut[b + 1]], return_inverse=True)
-                parts.append((b, packed(key[cut[b] : cut[b + 1]]), context[cut[b] : cut[b + 1]].tobytes(), index.astype(np.uint32).tobytes(), ids[there].tobytes()))
+                parts.append((b, packed(key[cut[b] : cut[b + 1]]), context[cut[b] : cut[b + 1]].tobytes(), sides[cut[b] : cut[b + 1]].tobytes(), index.astype(np.uint32).tobytes(), ids[there].tobytes()))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], names=["bucket", "keys", "contexts", "owners", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], names=["bucket", "keys", "contexts", "sides", "owners", "docs"])
+            trim()
 
     return docs.mapInArrow(run, _ENTRIES)
 
 
 def judge(table: pa.Table) -> pa.Table:
     """For each document its contexts that repeat (state 0) or must be compared (state 1)."""
-    keys, contexts, docs = [], [], []
-    for k, c, o, d in zip(*(table[x].to_pylist() for x in ("keys", "contexts", "owners", "docs")), strict=True):
+    keys, contexts, docs, sides = [], [], [], []
+    for k, c, s, o, d in zip(*(table[x].to_pylist() for x in ("keys", "contexts", "sides", "owners", "docs")), strict=True):
+        sides.append(np.frombuffer(s, np.uint32))
         keys.append(unpacked(k))
         contexts.append(np.frombuffer(c, np.uint64))
         docs.append(np.frombuffer(d, np.int64)[np.frombuffer(o, np.uint32)])
-    keys, contexts, docs = np.concatenate(keys), np.concatenate(contexts), np.concatenate(docs)
+    keys, contexts, docs, sides = (np.concatenate(x) for x in (keys, contexts, docs, sides))
     order = np.lexsort((docs, contexts, keys))
-    keys, contexts, docs = keys[order], contexts[order], docs[order]
+    keys, contexts, docs, sides = keys[order], contexts[order], docs[order], sides[order]
     new_key = np.r_[True, keys[1:] != keys[:-1]]
     new_context = new_key | np.r_[True, contexts[1:] != contexts[:-1]]
     of_key, of_context = np.cumsum(new_key) - 1, np.cumsum(new_context) - 1
@@ -137,6 +163,14 @@ def judge(table: pa.Table) -> pa.Table:
     several = (np.bincount(of_key[new_context])[of_key] > 1) & (low != high)
     full = docs > least
     compare = several & (docs == least) & np.r_[True, (docs[1:] != docs[:-1]) | new_context[1:]]
+    # two contexts of a minimizer share a window only if they agree for half of what it holds beside the core, on one side
+    some = np.flatnonzero(compare)
+    agree = np.zeros(len(some), bool)
+    for shift in (0, 16):
+        side = (sides[some] >> np.uint32(shift)) & np.uint32(0xFFFF)
+        _, of, times = np.unique(mixed(keys[some] + side.astype(np.uint64) * _BASE), return_inverse=True, return_counts=True)
+        agree |= (times[of] > 1) & (side < 1 << 15)
+    compare[some[~agree]] = False
     keep = full | compare
     keys, contexts, docs, state = keys[keep], contexts[keep], docs[keep], compare[keep].astype(np.uint8)
     order = np.argsort(docs, kind="stable")
@@ -144,6 +178,7 @@ def judge(table: pa.Table) -> pa.Table:
     cut = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1], True]) if len(docs) else np.zeros(1, np.int64)
     spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
     slices = lambda x: pa.array([x[a:b].tobytes() for a, b in spans], pa.binary())
+    trim()
     return pa.table({"doc_id": pa.array(docs[cut[:-1]], pa.int64()), "keys": slices(keys), "contexts": slices(contexts), "states": slices(state)})
 
 
@@ -198,14 +233,23 @@ def merged_intervals(shards: list[list[bytes]], length: int) -> tuple[np.ndarray
     return strings[several], offsets[several], interval[several]
 
 
-def compare(length: int):
+def compare(length: int, core: int):
     """For each context of a unit, a mask of its windows that a document of a smaller id has too."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("key", "ascending"), ("doc_id", "ascending")])
+        # two contexts of a minimizer share a window only if they agree for half of what a window holds beside the core, on one side
+        half = (length - core + 1) // 2
+        strings, keys, cores = table["bytes"].to_pylist(), table["key"].to_pylist(), table["core"].to_pylist()
+        left = [(k, s[c - half : c]) if c >= half else None for k, s, c in zip(keys, strings, cores, strict=True)]
+        right = [(k, s[c + core : c + core + half], 1) if len(s) >= c + core + half else None for k, s, c in zip(keys, strings, cores, strict=True)]
+        seen = Counter(left)
+        seen.update(right)
+        seen[None] = 0
+        table = table.filter(pa.array([seen[a] > 1 or seen[b] > 1 for a, b in zip(left, right, strict=True)], pa.bool_())).sort_by([("key", "ascending"), ("doc_id", "ascending")])
+        del left, right, seen
         docs, strings = table["doc_id"].to_numpy(), table["bytes"].to_pylist()
         mask = np.zeros(len(docs), np.uint64)
-        string, offset, interval = merged_intervals([strings[i : i + SHARD] for i in range(0, len(strings), SHARD)], length)
+        string, offset, interval = merged_intervals([strings[i : i + SHARD] for i in range(0, len(strings), SHARD)], length) if strings else (docs, docs, docs)
         if len(string):
             order = np.lexsort((docs[string], interval))
             string, offset, interval = string[order], offset[order], interval[order]
@@ -214,6 +258,7 @@ def compare(length: int):
             ok = docs[string] > least
             np.bitwise_or.at(mask, string[ok], np.uint64(1) << offset[ok].astype(np.uint64))
         some = pa.array(mask > 0)
+        trim()
         return table.select(["doc_id", "key", "context"]).append_column("mask", pa.array(mask.view(np.int64))).filter(some)
 
     return run
@@ -246,20 +291,11 @@ def maybe(words: np.ndarray):
     return test(*(F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(64 * size)) for k in (1, 2, 3)))
 
 
-def covered(data: np.ndarray, windows: list[tuple[int, int]], length: int) -> np.ndarray:
-    """Which bytes are covered, for windows given as (first, number)."""
-    edge = np.zeros(len(data) + 1, np.int32)
-    for at, n in windows:
-        edge[at] += 1
-        edge[at + n - 1 + length] -= 1
-    return np.cumsum(edge[:-1]) > 0
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, text: str = "text") -> DataFrame:
     """The rows of ``docs`` with ``kept`` (the remaining bytes), n_bytes, n_removed and n_spans."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    buckets = buckets_of(spark)
+    buckets = buckets_of(spark, 2)
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     states = stored(scatter(rows, length, core, buckets).groupBy("bucket").applyInArrow(judge, _STATES), "suffix-states")
@@ -267,24 +303,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, text
     asked = bloom(states.where("instr(hex(states), '01') > 0").select("doc_id").distinct())
 
     def send(batches):
-        for part, data, offsets in text_blocks(batches):
+        for part, data, offsets in text_blocks(batches, limit=BLOCK):
             ids = longs(part, "doc_id")
-            out = []
-            at, low, n, key, context, owner = minimizers(data, offsets, length, core)
-            cut = np.searchsorted(owner, np.arange(part.num_rows + 1))
+            at, low, n, key, context, owner, _ = minimizers(data, offsets, length, core)
+            wanted = [np.zeros(0, np.uint64)]
             for i, found in enumerate(part.column(2).to_pylist()):
                 keys, contexts, state = joined(found)
-                wanted = {(int(k), int(c)) for k, c in zip(keys[state == 1], contexts[state == 1], strict=True)}
-                if wanted:
-                    for j in range(cut[i], cut[i + 1]):
-                        if (pair := (int(key[j]), int(context[j]))) in wanted:
-                            wanted.discard(pair)
-                            out.append((int(ids[i]), pair[0] - 2**63, pair[1] - 2**63, data[low[j] : low[j] + n[j] - 1 + length].tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], names=["doc_id", "key", "context", "bytes"])
-
-    sent = rows.where(maybe(asked)).join(per_doc.where("exists(found, x -> instr(hex(x.states), '01') > 0)"), "doc_id").select("doc_id", "text", "found").mapInArrow(send, "doc_id long, key long, context long, bytes binary")
-    masks = stored(sent.groupBy(F.pmod(F.xxhash64("key"), F.lit(2 * buckets)).alias("unit")).applyInArrow(compare(length), "doc_id long, key long, context long, mask long"), "suffix-masks")
+                wanted.append(pair_keys(keys[state == 1], contexts[state == 1], np.full(int((state == 1).sum()), i)))
+            pairs = pair_keys(key, context, owner)
+            _, one = np.unique(pairs, return_index=True)
+            one = one[np.isin(pairs[one], np.concatenate(wanted))]
+            if len(one):
+                raw = [data[a:b].tobytes() for a, b in zip(low[one].tolist(), (low + n - 1 + length)[one].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[owner[one]]), pa.array(key[one].view(np.int64)), pa.array(context[one].view(np.int64)), pa.array((at - low)[one].astype(np.int32)), pa.array(raw, pa.binary())], names=["doc_id", "key", "context", "core", "bytes"])
+            trim()
+
+    sent = rows.where(maybe(asked)).join(per_doc.where("exists(found, x -> instr(hex(x.states), '01') > 0)"), "doc_id").select("doc_id", "text", "found").mapInArrow(send, "doc_id long, key long, context long, core int, bytes binary")
+    masks = stored(sent.groupBy(F.pmod(F.xxhash64("key"), F.lit(2 * buckets)).alias("unit")).applyInArrow(compare(length, core), "doc_id long, key long, context long, mask long"), "suffix-masks")
     masks_of = masks.groupBy("doc_id").agg(F.collect_list(F.struct("key", "context", "mask")).alias("masks"))
     full = per_doc.select("doc_id", F.expr("filter(found, x -> instr(hex(x.states), '00') > 0)").alias("found")).where("size(found) > 0")
     marks = stored(full.join(masks_of, "doc_id", "full").select("doc_id", "found", "masks"), "suffix-marks")
@@ -293,36 +328,39 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, text
     names = docs.columns
 
     def cut_out(batches):
-        for part, data, offsets in text_blocks(batches, text):
-            _, low, n, key, context, owner = minimizers(data, offsets, length, core)
-            cut = np.searchsorted(owner, np.arange(part.num_rows + 1))
+        for part, data, offsets in text_blocks(batches, text, BLOCK):
+            _, low, n, key, context, owner, _ = minimizers(data, offsets, length, core)
             where = {c: part.schema.get_field_index(c) for c in part.schema.names}
             founds = part.column(where["__found"]).to_pylist() if "__found" in where else [None] * part.num_rows
             masks = part.column(where["__masks"]).to_pylist() if "__masks" in where else [None] * part.num_rows
-            kept, sizes, removed, spans = [], [], [], []
+            pairs = pair_keys(key, context, owner)
+            full, low_masks = [np.zeros(0, np.uint64)], {}
             for i in range(part.num_rows):
-                own = data[offsets[i] : offsets[i + 1]]
-                windows = []
-                if founds[i] or masks[i]:
+                if founds[i]:
                     keys, contexts, state = joined(founds[i])
-                    full = {(int(k), int(c)) for k, c in zip(keys[state == 0], contexts[state == 0], strict=True)}
-                    some = {(m["key"] + 2**63, m["context"] + 2**63): m["mask"] & (2**64 - 1) for m in masks[i] or ()}
-                    for j in range(cut[i], cut[i + 1]):
-                        pair, start = (int(key[j]), int(context[j])), int(low[j] - offsets[i])
-                        if pair in full:
-                            windows.append((start, int(n[j])))
-                        elif bits := some.get(pair):
-                            windows += [(start + w, 1) for w in range(int(n[j])) if bits >> w & 1]
-                if windows:
-                    gone = covered(own, windows, length)
-                    kept.append(own[~gone].tobytes())
-                    removed.append(int(gone.sum()))
-                    spans.append(int((gone & ~np.r_[False, gone[:-1]]).sum()))
-                else:
-                    kept.append(own.tobytes())
-                    removed.append(0)
-                    spans.append(0)
-                sizes.append(len(own))
+                    full.append(pair_keys(keys[state == 0], contexts[state == 0], np.full(int((state == 0).sum()), i)))
+                if masks[i]:
+                    k, c = (np.array([m[x] for m in masks[i]], np.int64).view(np.uint64) for x in ("key", "context"))
+                    low_masks |= dict(zip(pair_keys(k, c, np.full(len(k), i)).tolist(), (m["mask"] & (2**64 - 1) for m in masks[i]), strict=True))
+            edge = np.zeros(len(data) + 1, np.int32)
+            whole = np.isin(pairs, np.concatenate(full))
+            np.add.at(edge, low[whole], 1)
+            np.subtract.at(edge, (low + n - 1 + length)[whole], 1)
+            if low_masks:
+                for j in np.flatnonzero(np.isin(pairs, np.fromiter(low_masks, np.uint64, len(low_masks)))).tolist():
+                    bits = low_masks[int(pairs[j])]
+                    for w in range(int(n[j])):
+                        if bits >> w & 1:
+                            edge[low[j] + w] += 1
+                            edge[low[j] + w + length] -= 1
+            gone = np.cumsum(edge[:-1]) > 0
+            before = np.concatenate([[0], np.cumsum(gone)])
+            removed = before[offsets[1:]] - before[offsets[:-1]]
+            first = runs(gone, offsets)[0]
+            spans = np.diff(np.searchsorted(first, offsets))
+            sizes = np.diff(offsets)
+            kept = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            trim()
             yield pa.RecordBatch.from_arrays([*(part.column(where[c]) for c in names), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans))], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
     marks = marks.select(F.col("doc_id").alias("__id"), F.col("found").alias("__found"), F.col("masks").alias("__masks"))
