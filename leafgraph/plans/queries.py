@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgraph.functions import text as X
+from leafgraph.operators import expand as E
 from leafgraph.operators import graph as G
 from leafgraph.operators import health as H
 from leafgraph.operators import injection
@@ -149,11 +150,28 @@ def plan_conflicts(spark, d):
     return G.conflicts(edges, leveled).withColumn("shared", F.array_join("shared", ","))
 
 
-@query("cyclic_parts", f"WITH RECURSIVE {EDGES}, walk(start, id) AS (SELECT src, dst FROM edges WHERE type = 'delegate' AND src LIKE 'parts/%' AND CAST(regexp_extract(src, '[0-9]+') AS INT) <= 200 UNION SELECT start, dst FROM walk JOIN edges ON src = id WHERE type = 'delegate') SELECT start AS id FROM walk WHERE start = id")
+@query("cyclic_parts", f"WITH RECURSIVE {EDGES}, walk(start, id) AS (SELECT src, dst FROM edges WHERE type = 'delegate' AND src LIKE 'parts/%' UNION SELECT start, dst FROM walk JOIN edges ON src = id WHERE type = 'delegate') SELECT start AS id FROM walk WHERE start = id")
 def cyclic_parts(spark, d):
     edges = _edges(spark, d).where("type = 'delegate' and src like 'parts/%'")
-    starts = edges.where("cast(regexp_extract(src, '[0-9]+', 0) as int) <= 200").select(F.col("src").alias("id"))
-    return G.closure(edges, starts).where("start = id").select("id")
+    return G.cyclic_nodes(edges)
+
+
+_EXPANDED = """SELECT 'parts/' || p_partkey || '.md' AS id, '# Part ' || p_partkey || chr(10) || coalesce('# Supplier ' || s_suppkey || chr(10) || chr(10) || 'See `../nations/' || s_nationkey || '.md` for home.' || chr(10), '') || chr(10) || '@delegate ./../parts/' || ((7 * p_partkey + 3) % np + 1) || '.md' || chr(10) AS content
+  FROM part, (SELECT (SELECT count(*) FROM part) AS np, (SELECT count(*) FROM supplier) AS ns) LEFT JOIN supplier ON s_suppkey = p_partkey % ns + 1 WHERE p_partkey % 17 <> 0"""
+
+
+@query("expanded_parts", _EXPANDED)
+def expanded_parts(spark, d):
+    docs = G.kept(C.documents(spark, d))
+    entries = docs.where("path like 'parts/%'").select(F.col("path").alias("id"))
+    return E.expand(docs, entries, {"country": "home"})[0].select("id", "content")
+
+
+@query("walks_from_nations", "SELECT 'nations/' || n_nationkey || '.md' AS root, 'nations/' || n_nationkey || '.md' AS path, CAST(0 AS INTEGER) AS depth, '' AS kind FROM nation UNION ALL SELECT 'nations/' || n_nationkey || '.md', 'nations/' || n_nationkey || '.md > regions/' || n_regionkey || '.md', CAST(1 AS INTEGER), 'include' FROM nation")
+def walks_from_nations(spark, d):
+    edges = _edges(spark, d)
+    roots = C.table(spark, d, "nation").select(F.concat(F.lit("nations/"), "n_nationkey", F.lit(".md")).alias("id"))
+    return E.tree(G.kept(edges), roots).select("root", F.array_join("path", " > ").alias("path"), "depth", "kind")
 
 
 @query("document_stats", "SELECT doc_id, substr(sha256(text), 1, 16) AS hash, octet_length(encode(text)) AS size, greatest(1, length(text) // 4) AS tokens FROM documents")
