@@ -256,3 +256,12 @@ def op4_jaccard_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_jaccard_prefix_tree": op4_jaccard_prefix_tree}
+ORACLE = {"op4_jaccard_prefix_tree": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b, c FROM reach JOIN links ON a = id),
+least AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM s JOIN least ON id = doc_id
+"""}
