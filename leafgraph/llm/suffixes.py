@@ -198,11 +198,12 @@ def transform(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray
     while done < length:
         ahead = np.minimum(np.arange(len(text)) + done, ends)
         later = np.where(np.arange(len(text)) + done > ends, -1, rank[ahead])
-        order = np.lexsort((later, rank))
-        new = np.r_[True, (rank[order][1:] != rank[order][:-1]) | (later[order][1:] != later[order][:-1])]
-        rank[order] = np.cumsum(new) - 1
+        both = rank * (int(rank.max()) + 2) + later + 1
+        order = np.argsort(both)  # equal pairs get one rank, so their order is of no matter
+        both = both[order]
+        rank[order] = np.cumsum(np.r_[True, both[1:] != both[:-1]]) - 1
         done *= 2
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank * len(text) + np.arange(len(text)))
     before = np.where(offset > 0, text[np.maximum(np.arange(len(text)) - 1, 0)], 0)
     return before[order], string[order], offset[order]
 
@@ -214,19 +215,23 @@ def merged_intervals(shards: list[list[bytes]], length: int) -> tuple[np.ndarray
     base = np.cumsum([0, *(len(s) for s in shards)])
     strings = np.concatenate([p[1] + base[k] for k, p in enumerate(parts)])
     offsets = np.concatenate([p[2] for p in parts])
-    shard = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[0]) for p in parts])  # the interleave
-    ends = np.repeat(np.arange(len(parts), dtype=np.int32), [len(s) for s in shards])
-    group = np.zeros(len(symbols), np.int64)
+    small = np.min_scalar_type(len(parts))  # few bits, so that stable sorts go by digits
+    shard = np.repeat(np.arange(len(parts), dtype=small), [len(p[0]) for p in parts])  # the interleave
+    ends = np.repeat(np.arange(len(parts), dtype=small), [len(s) for s in shards])
+    group = np.zeros(len(symbols), np.int32 if len(symbols) < 2**31 else np.int64)
+    del parts
     for _ in range(length):
         by_shard = np.argsort(shard, kind="stable")
         here = np.empty_like(symbols)
         here[by_shard] = symbols
         inner = np.flatnonzero(here > 0)
-        order = inner[np.argsort(here[inner], kind="stable")]
-        symbol, old = here[order], group[order]
+        symbol = (here[inner] - 1).astype(np.uint8)
+        by_symbol = np.argsort(symbol, kind="stable")
+        order, symbol = inner[by_symbol], symbol[by_symbol]
+        old = group[order]
         new = np.r_[True, (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])] if len(order) else np.zeros(0, bool)
         shard = np.concatenate([ends, shard[order]])
-        group = np.concatenate([np.arange(len(ends)), len(ends) - 1 + np.cumsum(new)])  # each end is a group of its own
+        group = np.concatenate([np.arange(len(ends), dtype=group.dtype), np.cumsum(new, dtype=group.dtype) + group.dtype.type(len(ends) - 1)])  # each end is a group of its own
     by_shard = np.argsort(shard, kind="stable")
     interval = group[by_shard]
     several = np.bincount(interval, minlength=int(interval.max()) + 1 if len(interval) else 0)[interval] > 1
