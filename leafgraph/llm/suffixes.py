@@ -32,6 +32,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,7 +45,10 @@ SHARD = 2048
 #: Bytes of text looked at together; a block needs about a hundred times that in arrays.
 BLOCK = 2 << 20
 BLOOM_WORDS = 1 << 17
+#: A place in a block has so many bits beside a hash; longer texts take another way to the same places.
+PLACE_BITS = 24
 
+_PLACE_BITS = np.uint64(PLACE_BITS)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
@@ -78,17 +82,25 @@ def minimizers(data: np.ndarray, offsets: np.ndarray, length: int, core: int) ->
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[data] * powers(_BASE, len(data)), dtype=np.uint64)])
     back = powers(_INVERSE, len(data))
     h = mixed((sums[core:] - sums[:-core]) * back[: len(data) - core + 1])
-    # sliding minimum of (hash, place): ties go to the left
-    least, place, width = h, np.arange(len(h), dtype=np.int32), 1
-    while width < span:
-        step = min(width, span - width)
-        a, b = least[:-step], least[step:]
-        right = b < a
-        least, place = np.minimum(a, b), np.where(right, place[step:], place[:-step])
-        width += step
-    edge = np.ones(len(least), bool)
+    # sliding minimum of (40 bits of the hash, place): ties go to the left
+    n, width = len(h), 1
+    if n <= 1 << PLACE_BITS:
+        both = h >> _PLACE_BITS << _PLACE_BITS | np.arange(n, dtype=np.uint64)
+        while width < span:
+            step = min(width, span - width)
+            both = np.minimum(both[:-step], both[step:])
+            width += step
+        place = (both & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int32)
+    else:  # one very long text
+        least, place = h >> _PLACE_BITS, np.arange(n)
+        while width < span:
+            step = min(width, span - width)
+            place = np.where(least[step:] < least[:-step], place[step:], place[:-step])
+            least = np.minimum(least[:-step], least[step:])
+            width += step
+    edge = np.ones(len(place), bool)
     edge[1:] = place[1:] != place[:-1]
-    inside = np.zeros(len(least) + 1, np.int32)  # windows that lie in one document
+    inside = np.zeros(len(place) + 1, np.int32)  # windows that lie in one document
     sizes = np.diff(offsets)
     long = sizes >= length
     inside[offsets[:-1][long]] = 1
@@ -97,7 +109,7 @@ def minimizers(data: np.ndarray, offsets: np.ndarray, length: int, core: int) ->
     ok = np.cumsum(inside[:-1]) > 0
     edge[1:] |= ok[1:] != ok[:-1]
     first = np.flatnonzero(edge)
-    n = np.diff(np.r_[first, len(least)])
+    n = np.diff(np.r_[first, len(place)])
     first, n = first[ok[first]], n[ok[first]]
     if not len(first):
         return empty
@@ -316,8 +328,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, text
                 keys, contexts, state = joined(found)
                 wanted.append(pair_keys(keys[state == 1], contexts[state == 1], np.full(int((state == 1).sum()), i)))
             pairs = pair_keys(key, context, owner)
-            _, one = np.unique(pairs, return_index=True)
-            one = one[np.isin(pairs[one], np.concatenate(wanted))]
+            one = np.flatnonzero(np.isin(pairs, np.concatenate(wanted)))
+            one = one[np.unique(pairs[one], return_index=True)[1]]
             if len(one):
                 raw = [data[a:b].tobytes() for a, b in zip(low[one].tolist(), (low + n - 1 + length)[one].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[owner[one]]), pa.array(key[one].view(np.int64)), pa.array(context[one].view(np.int64)), pa.array((at - low)[one].astype(np.int32)), pa.array(raw, pa.binary())], names=["doc_id", "key", "context", "core", "bytes"])
@@ -334,30 +346,33 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, text
 
     def cut_out(batches):
         for part, data, offsets in text_blocks(batches, text, BLOCK):
-            _, low, n, key, context, owner, _ = minimizers(data, offsets, length, core)
             where = {c: part.schema.get_field_index(c) for c in part.schema.names}
-            founds = part.column(where["__found"]).to_pylist() if "__found" in where else [None] * part.num_rows
-            masks = part.column(where["__masks"]).to_pylist() if "__masks" in where else [None] * part.num_rows
+            founds, masks = part.column(where["__found"]), part.column(where["__masks"])
+            if founds.null_count == masks.null_count == part.num_rows:
+                yield unchanged(part, data, offsets, [part.column(where[c]) for c in names])
+                continue
+            _, low, n, key, context, owner, _ = minimizers(data, offsets, length, core)
             pairs = pair_keys(key, context, owner)
-            full, low_masks = [np.zeros(0, np.uint64)], {}
-            for i in range(part.num_rows):
-                if founds[i]:
-                    keys, contexts, state = joined(founds[i])
+            full = [np.zeros(0, np.uint64)]
+            for i, found in enumerate(founds.to_pylist()):
+                if found:
+                    keys, contexts, state = joined(found)
                     full.append(pair_keys(keys[state == 0], contexts[state == 0], np.full(int((state == 0).sum()), i)))
-                if masks[i]:
-                    k, c = (np.array([m[x] for m in masks[i]], np.int64).view(np.uint64) for x in ("key", "context"))
-                    low_masks |= dict(zip(pair_keys(k, c, np.full(len(k), i)).tolist(), (m["mask"] & (2**64 - 1) for m in masks[i]), strict=True))
+            marked = masks.flatten()
+            k, c, m = (marked.field(x).to_numpy().view(np.uint64) for x in ("key", "context", "mask"))
+            wanted = pair_keys(k, c, np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(masks), 0).to_numpy()))
+            order = np.argsort(wanted)
+            wanted, m = wanted[order], m[order]
             edge = np.zeros(len(data) + 1, np.int32)
             whole = np.isin(pairs, np.concatenate(full))
             np.add.at(edge, low[whole], 1)
             np.subtract.at(edge, (low + n - 1 + length)[whole], 1)
-            if low_masks:
-                for j in np.flatnonzero(np.isin(pairs, np.fromiter(low_masks, np.uint64, len(low_masks)))).tolist():
-                    bits = low_masks[int(pairs[j])]
-                    for w in range(int(n[j])):
-                        if bits >> w & 1:
-                            edge[low[j] + w] += 1
-                            edge[low[j] + w + length] -= 1
+            some = np.flatnonzero(np.isin(pairs, wanted))
+            bits = m[np.searchsorted(wanted, pairs[some])]
+            for w in range(int(n[some].max()) if len(some) else 0):
+                at = low[some[(bits >> np.uint64(w) & np.uint64(1) > 0) & (w < n[some])]] + w
+                np.add.at(edge, at, 1)
+                np.subtract.at(edge, at + length, 1)
             gone = np.cumsum(edge[:-1]) > 0
             before = np.concatenate([[0], np.cumsum(gone)])
             removed = before[offsets[1:]] - before[offsets[:-1]]
@@ -368,10 +383,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, text
             trim()
             yield pa.RecordBatch.from_arrays([*(part.column(where[c]) for c in names), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans))], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
+    def unchanged(part, data, offsets, columns):
+        none = pa.array(np.zeros(part.num_rows, np.int64))
+        kept = pa.array([data[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([*columns, kept, pa.array(np.diff(offsets), pa.int64()), none, none], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
+
+    def leave(batches):
+        for part, data, offsets in text_blocks(batches, text, BLOCK):
+            yield unchanged(part, data, offsets, part.columns)
+
     marks = marks.select(F.col("doc_id").alias("__id"), F.col("found").alias("__found"), F.col("masks").alias("__masks"))
     chosen = docs.withColumn("__hit", F.coalesce(maybe(hit), F.lit(False)))
     touched = chosen.where("__hit").drop("__hit").join(marks, F.col("doc_id") == F.col("__id"), "left").drop("__id")
-    return touched.mapInArrow(cut_out, schema).unionByName(chosen.where("not __hit").drop("__hit").mapInArrow(cut_out, schema))
+    return touched.mapInArrow(cut_out, schema).unionByName(chosen.where("not __hit").drop("__hit").mapInArrow(leave, schema))
 
 
 def joined(found: list | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -190,6 +190,16 @@ def test_jaccard_in_tiles(docs, rows, monkeypatch):
     assert one == sorted(jaccard.near_duplicates(docs, 3, 50, 100).collect())
 
 
+def test_minimizers_of_very_long_texts(monkeypatch):
+    """Texts too long for packed places have the same minimizers."""
+    rng = np.random.default_rng(3)
+    data = np.concatenate([rng.integers(97, 100, 4000), np.full(300, 32), np.tile(rng.integers(97, 123, 7), 60)]).astype(np.uint8)
+    offsets = np.array([0, 900, 930, len(data)])
+    usual = suffixes.minimizers(data, offsets, 50, 20)
+    monkeypatch.setattr(suffixes, "PLACE_BITS", 0)
+    assert all((a == b).all() for a, b in zip(usual, suffixes.minimizers(data, offsets, 50, 20), strict=True))
+
+
 def test_suffixes_equal_brute_force(docs, none, rows):
     first, want = {}, {}
     for i, raw in sorted((r[0], (r[1] or "").encode()) for r in rows):
