@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafgraph.llm.blocks import arrow_batches, bucket_bounds, buckets_of, mixed, packed, set_hashes, shingle_sets, text_and_offsets, text_blocks, unpacked
+from leafgraph.llm.blocks import arrow_batches, bucket_bounds, buckets_of, mixed, packed, set_hashes, shingle_sets, text_and_offsets, text_blocks, trim, unpacked
 from leafgraph.llm.components import components
 from leafgraph.llm.store import stored
 
@@ -85,6 +85,9 @@ def scatter(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> Da
                     out.append((0, b, level, None, None, None, None, packed(keys[cut[b] : cut[b + 1]]), index.astype(np.uint16 if len(there) < 65536 else np.uint32).tobytes(), values[there].tobytes()))
             for i in range(0, len(out), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 2000], strict=True), _TYPES, strict=True)], names=_NAMES)
+            out.clear()
+            del sets, own, inside, keys, owner, order
+            trim()
 
     return docs.mapInArrow(run, _ROWS)
 
@@ -115,6 +118,7 @@ def gather(table: pa.Table) -> pa.Table:
         keys, docs, counts = keys[counts > 1], docs[counts > 1], counts[counts > 1]
         empty = lambda t, k=len(keys): pa.nulls(k, t)
         parts.append(pa.table({"kind": pa.array(np.zeros(len(keys)), pa.int32()), "level": pa.array(np.full(len(keys), level), pa.int32()), "doc_id": docs, "n": empty(pa.int64()), "m": empty(pa.int64()), "set_hash": empty(pa.binary()), "token": keys.view(np.int64), "frequency": counts}))
+    trim()
     return pa.concat_tables(parts)
 
 
@@ -212,6 +216,7 @@ def compare(width: int, num: int, den: int):
             for x, y in trie.links():
                 a.append(names[x])
                 b.append(names[y])
+        trim()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run

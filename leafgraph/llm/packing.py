@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafgraph.llm.blocks import LARGE_BLOCK, arrow_batches, distinct_words, runs, text_blocks, unusual_texts
+from leafgraph.llm.blocks import LARGE_BLOCK, arrow_batches, distinct_words, runs, text_blocks, trim, unusual_texts
 from leafgraph.llm.store import stored
 
 STEPS = 250
@@ -239,6 +239,8 @@ def pack(docs: DataFrame, ranks_path: str, json_path: str, capacity: int = 1024,
                     at, piece, size = at + size, piece + 1, capacity
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=names)
+            out.clear()
+            trim()
 
     pieces = stored(docs.mapInArrow(cut, "part int, n long, doc_id long, piece int, start long, length long, ids_crc32 long"), "packing-pieces")
     parts = pieces.groupBy("length", "part").agg(F.count("*").alias("c"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafgraph.llm.blocks import LARGE_BLOCK, LOWER, arrow_batches, distinct_words, runs, text_blocks
+from leafgraph.llm.blocks import LOWER, arrow_batches, distinct_words, runs, text_blocks, trim
 
 SAMPLE = 24_000
 LEXICON = 4_000
@@ -185,6 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int =
                 for i, c in enumerate(np.bincount(mine, minlength=len(distinct)).tolist()):
                     if c:
                         seen[k][distinct[i]] += c
+            trim()
         terms = [""] + sorted({*seen[0], *seen[1]} - {""})
         a, b = [total[0]] + [seen[0][t] for t in terms[1:]], [total[1]] + [seen[1][t] for t in terms[1:]]
         for i in range(0, len(terms), 20_000):
@@ -206,6 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int =
         for part, data, offsets in text_blocks(batches):
             x = features(trie, data, offsets)
             yield pa.RecordBatch.from_arrays([part.column(2).cast(pa.int32()), *map(pa.array, x.T)], names=["y", *"abcdefg"])
+            trim()
 
     table = rows.mapInArrow(describe, "y int, a double, b double, c double, d double, e double, f double, g double").toPandas()  # at most `sample` rows, or their repeats
     return chosen, fit_logistic(table.iloc[:, 1:].to_numpy(), (table["y"].to_numpy() > 0).astype(float))
@@ -222,9 +224,10 @@ def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], text: str
 
     def run(batches):
         trie = Trie(lexicon)
-        for part, data, offsets in text_blocks(batches, text, LARGE_BLOCK):
+        for part, data, offsets in text_blocks(batches, text):
             z = np.c_[features(trie, data, offsets), np.ones(len(offsets) - 1)] @ weights
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*part.schema.names, out])
+            trim()
 
     return docs.mapInArrow(run, schema)
 
