@@ -32,7 +32,6 @@ from leafgraph.llm.blocks import LOWER, arrow_batches, distinct_words, runs, tex
 
 SAMPLE = 24_000
 LEXICON = 4_000
-FUZZY = 200
 WINDOW = 8
 REPORTING = frozenset("said says quote quoted quotes reported reports wrote writes called cited dijo sagte dit".split())
 
@@ -41,19 +40,16 @@ _IN_WORD[np.r_[ord("a") : ord("z") + 1, ord("A") : ord("Z") + 1, ord("0") : ord(
 
 
 class Trie:
-    """A lexicon with weights; its strongest terms of five letters or more also form a trie for automata."""
+    """A lexicon with weights; its terms of five letters or more also form a trie for automata."""
 
-    def __init__(self, weights: dict[str, float], fuzzy: int = FUZZY):
+    def __init__(self, weights: dict[str, float]):
         self.weights = weights
         self.root: dict = {}
-        self.heads: dict[int, set[str]] = {}
-        self.tails: dict[int, set[str]] = {}
-        self.swapped: set[str] = set()
-        for term in sorted((t for t in weights if len(t) >= 5), key=lambda t: (-weights[t], t))[:fuzzy]:
-            node, half = self.root, len(term) // 2
-            self.heads.setdefault(half, set()).add(term[:half])
-            self.tails.setdefault(len(term) - half, set()).add(term[half:])
-            self.swapped.add(term[: half - 1] + term[half] + term[half - 1] + term[half + 1 :])
+        self.near: set[str] = set()
+        self.longest = max(map(len, weights), default=0)
+        for term in (t for t in weights if len(t) >= 5):
+            node = self.root
+            self.near.update((term, *(term[:i] + term[i + 1 :] for i in range(len(term)))))
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = term
@@ -63,13 +59,12 @@ class Trie:
         """(0, weight) of the term, (1, weight) of the strongest term one edit away, or (-1, 0)."""
         if (got := self.weights.get(token)) is not None:
             return 0, got
-        # one edit leaves the first or the second half of a term as it is, unless it swaps the letters where they meet
-        if not 4 <= len(token) <= 40 or not (token in self.swapped or any(token[:k] in s for k, s in self.heads.items()) or any(token[-k:] in s for k, s in self.tails.items())):
-            return -1, 0.0
         if (got := self.met.get(token)) is None:
             if len(self.met) >= 200_000:
                 self.met.clear()
-            got = self.met[token] = self.automaton(token)
+            # one edit, or a swap, is undone by leaving out at most one letter of the token and one of the term
+            may = 4 <= len(token) <= self.longest + 1 and not self.near.isdisjoint((token, *(token[:i] + token[i + 1 :] for i in range(len(token)))))
+            got = self.met[token] = self.automaton(token) if may else (-1, 0.0)
         return got
 
     def automaton(self, token: str) -> tuple[int, float]:

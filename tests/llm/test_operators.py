@@ -126,6 +126,14 @@ def test_automaton_equals_edit_distance():
         assert trie.meet(token)[0] == want, token
 
 
+def test_every_term_is_met_misspelled():
+    rng = random.Random(9)
+    terms = {"".join(rng.choice("abcdefghij") for _ in range(rng.randint(8, 12))): 9.0 - i / 100 for i in range(600)} | {"k" * 60: 1.0}
+    trie = toxicity.Trie(terms)
+    for term in terms:
+        assert trie.meet(term[:3] + "z" + term[4:]) == (1, terms[term]), term
+
+
 def test_toxicity_holds_out(spark, none):
     rng = random.Random(3)
     vocabulary = ["".join(rng.choice("mnopqrst") for _ in range(5)) for _ in range(80)]
