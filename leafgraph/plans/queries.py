@@ -208,7 +208,7 @@ def role_spoof_lines(spark, d):
     said = F.concat(F.initcap("role"), F.lit(": "), F.col("text"))
     text = F.when(k % 3 == 0, F.concat(F.lit("```\n"), said, F.lit("\n```"))).when(k % 5 == 0, F.concat(said, F.lit("\n<!-- x-allow: role-spoof -->"))).otherwise(said)
     docs = C.table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("source"), text.alias("text"))
-    return injection.scan(docs).where("line = 1").select("source", "line", "rule")
+    return injection.scan(docs).select("source", "line", "rule")
 
 
 _ACTIVE = """a AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'fix-failed' WHEN 'click' THEN 'fragile' WHEN 'signup' THEN 'deprecated' END AS tag, event_type FROM events),
