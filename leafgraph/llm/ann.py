@@ -9,14 +9,19 @@ the distances of codes come from a query's asymmetric table; the best of each
 query are reranked by exact distance in double precision on the original
 vectors.
 
-Edge cases: vectors that are null, zero, hold null or non-finite components or
-have another length than most take no part, as rows with a null id; with fewer
+Vectors are compared with those of their own length, and each length has an index.
+
+Edge cases: vectors that are null, zero or hold null or non-finite components
+take no part, as rows with a null id; a query id with several vectors is answered
+for the shortest, of equally long ones the smallest; with fewer
 rows than neighbours all are returned; ties go to the smaller id; equal rows are
 candidates of their own; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -69,12 +74,19 @@ class Quantiser:
 def search(rows: DataFrame, queries: DataFrame, k: int = 10, ids: str = "vec_id", vector: str = "embedding", cells: int = CELLS, probes: int = PROBES, rerank: int = RERANK, sample: int = SAMPLE, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, ``ids``, score: the nearest rows found for every row of ``queries``, but its own id."""
     spark = rows.sparkSession
-    out = f"query_id long, rank int, {ids} long, score double"
-    rows, queries = (usable(x, ids, vector).select(F.col(ids).cast("long").alias("id"), "v") for x in (rows, queries))
-    queries = queries.dropDuplicates(["id"])
+    rows, queries = (usable(x, ids, vector).select(F.col(ids).cast("long").alias("id"), "v", "dims") for x in (rows, queries))
+    queries = queries.groupBy("id").agg(F.min(F.struct("dims", "v")).alias("x")).select("id", "x.v", "x.dims")
+    shared = rows.select("dims").distinct().join(queries.select("dims").distinct(), "dims").collect()  # at most one row a length
+    found = []
+    for n in sorted(r["dims"] for r in shared):
+        own, asked = (x.where(F.col("dims") == n).select("id", "v") for x in (rows, queries))
+        found.append(search_length(own, asked, k, ids, cells, probes, rerank, sample, row_block, query_block))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], f"query_id long, rank int, {ids} long, score double")
+
+
+def search_length(rows: DataFrame, queries: DataFrame, k: int, ids: str, cells: int, probes: int, rerank: int, sample: int, row_block: int, query_block: int) -> DataFrame:
+    """``search`` for rows and queries (id, v) that all have vectors of one length; there is at least one row."""
     fitted = sample_matrix(rows, "id", sample)
-    if not len(fitted):
-        return spark.createDataFrame([], out)
     model = Quantiser(fitted, cells)
 
     def code(batches):

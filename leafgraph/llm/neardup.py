@@ -1,8 +1,9 @@
-"""Embedding near-duplicates by PCA-ordered tiled comparison, within equal labels.
+"""Embedding near-duplicates by PCA-ordered tiled comparison, within equal labels and lengths.
 
 Equal vectors are one class first.  The classes' unit vectors are turned into
-the axes of a PCA (of second moments, so products stay as they are) fitted on a
-bounded sample.  Two unit vectors whose angles to the first axis differ by more
+the axes of a PCA (of second moments, so products stay as they are), one for each
+length, fitted on a bounded sample; a length with fewer sampled rows than
+dimensions keeps its own axes.  Two unit vectors whose angles to the first axis differ by more
 than the threshold's angle cannot link, so rows are laid in bins of that angle;
 bins are split into tiles of bounded size by a hash, and only tiles of near bins
 are compared.  Within two tiles the products of the leading dimensions come
@@ -13,9 +14,8 @@ decided by the cosine of the original vectors in double precision.
 A comparison returns each row's number of links and its root in a spanning
 forest of the links, never the pairs.
 
-Edge cases: vectors that are null, zero, hold null or non-finite components or
-have another length than most, rows with a null label and rows with a null id
-link with nothing and are returned (component_id null where the id is); repeated
+Edge cases: vectors that are null, zero or hold null or non-finite components,
+rows with a null label and rows with a null id link with nothing and are returned (component_id null where the id is); repeated
 rows count as vectors of their own; an empty table gives no rows; further columns
 are ignored.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from leafgraph.llm.components import components
 from leafgraph.llm.store import stored
-from leafgraph.llm.vectors import lists, matrix, sample_matrix, usable
+from leafgraph.llm.vectors import by_length, lists, matrix, sample_lists, usable
 
 SAMPLE, TILE = 8192, 2048
 STEPS = (8, 16, 32)
@@ -76,24 +76,25 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.93, ids: str = "vec_id", vector: str = "embedding", label: str = "label", sample: int = SAMPLE, tile: int = TILE) -> DataFrame:
     """``ids``, n_links, component_id, kept for every row."""
-    keyed = usable(rows.select(ids, vector, label).where(F.col(label).isNotNull()), ids, vector).select(F.col(ids).alias("id"), F.col(label).alias("label"), "v")
+    keyed = usable(rows.select(ids, vector, label).where(F.col(label).isNotNull()), ids, vector).select(F.col(ids).alias("id"), F.struct(F.col(label).alias("label"), "dims").alias("label"), "v")
     keyed = keyed.withColumns({"k": F.xxhash64(F.lit(7), "v"), "l": F.xxhash64(F.lit(13), "v")})
     classes = stored(keyed.groupBy("label", "k", "l").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v")), "near-classes")
-    taken = sample_matrix(classes, "id", sample)
-    if len(taken):
-        unit = taken / np.linalg.norm(taken, axis=1, keepdims=True)
-        axes = np.linalg.eigh(unit.T @ unit)[1][:, ::-1]
-    else:
-        axes = np.eye(1)
+    axes = {}
+    for _, taken in by_length(sample_lists(classes, "id", sample)):
+        if len(taken) >= taken.shape[1]:
+            unit = taken / np.linalg.norm(taken, axis=1, keepdims=True)
+            axes[taken.shape[1]] = np.linalg.eigh(unit.T @ unit)[1][:, ::-1]
     width = max(math.acos(threshold) / 2, 1e-6)
 
     def turn(batches):
         for b in batches:
-            v = matrix(b.column(3))
-            norm = np.linalg.norm(v / np.abs(v).max(1, keepdims=True), axis=1) * np.abs(v).max(1) if len(v) else np.zeros(0)
-            u = (v / norm[:, None]) @ axes if len(v) else v
-            angle = np.arccos(np.clip(u[:, 0], -1, 1)) if len(v) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), lists(u, pa.float64()), pa.array(angle // width, pa.int32())], names=["label", "id", "n", "v", "u", "bin"])
+            for at, v in by_length(b.column(3)):
+                part = b.take(pa.array(at))
+                norm = np.linalg.norm(v / np.abs(v).max(1, keepdims=True), axis=1) * np.abs(v).max(1)
+                u = v / norm[:, None]
+                u = u @ axes[v.shape[1]] if v.shape[1] in axes else u
+                angle = np.arccos(np.clip(u[:, 0], -1, 1))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists(u, pa.float64()), pa.array(angle // width, pa.int32())], names=["label", "id", "n", "v", "u", "bin"])
 
     kind = classes.schema["label"].dataType.simpleString()
     turned = stored(classes.select("label", "id", "n", "v").mapInArrow(turn, f"label {kind}, id long, n long, v array<double>, u array<double>, bin int"), "near-turned")

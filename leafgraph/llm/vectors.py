@@ -9,14 +9,9 @@ from pyspark.sql import functions as F
 
 
 def usable(rows: DataFrame, ids: str, vector: str) -> DataFrame:
-    """The rows with an id and a vector of the most frequent length, all finite and not all zero; ``v`` is it in double precision.
-
-    Of equally frequent lengths the smaller counts.
-    """
+    """The rows with an id and a vector, all finite and not all zero; ``v`` is it in double precision, ``dims`` its length."""
     rows = rows.where(F.col(ids).isNotNull() & F.col(vector).isNotNull()).where(F.expr(f"forall({vector}, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists({vector}, x -> x <> 0)"))
-    sizes = rows.groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").limit(1)
-    first = sizes.first()
-    return rows.where(F.size(vector) == (first["n"] if first else 0)).withColumn("v", F.col(vector).cast("array<double>"))
+    return rows.withColumns({"v": F.col(vector).cast("array<double>"), "dims": F.size(vector)})
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -30,7 +25,20 @@ def lists(rows: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel(), kind))
 
 
+def by_length(column: pa.Array | pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The places and the matrix of each length among a column of lists."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    places = [np.flatnonzero(sizes == n) for n in np.unique(sizes)]
+    return [(at, matrix(column.take(pa.array(at)))) for at in places]
+
+
 def sample_matrix(rows: DataFrame, ids: str, bound: int) -> np.ndarray:
+    """The vectors, all of one length, of at most ``bound`` rows, chosen by a hash of the id."""
+    return matrix(sample_lists(rows, ids, bound))
+
+
+def sample_lists(rows: DataFrame, ids: str, bound: int) -> pa.ChunkedArray:
     """The vectors of at most ``bound`` rows, chosen by a hash of the id."""
-    got = rows.orderBy(F.xxhash64(ids), ids).limit(bound).select("v").toArrow()
-    return matrix(got.column(0))
+    return rows.orderBy(F.xxhash64(ids), ids).limit(bound).select("v").toArrow().column(0)

@@ -262,6 +262,13 @@ def test_near_duplicates_equal_all_pairs(spark):
         assert all((got[i].n_links, got[i].component_id) == (0, i) for i in range(200, 205))
 
 
+def test_near_duplicates_of_every_length(spark):
+    data = [(i, [1.0, i / 1000, 0.5], 1) for i in range(6)] + [(10, [1.0, 2.0], 1), (11, [1.0, 2.1], 1), (12, [2.0, -1.0], 1), (13, [1.0, 2.0], 2), (20, [3.0] * 20, 1), (21, [3.1] * 20, 1)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")).collect()}
+    want = {i: (5, 0, i == 0) for i in range(6)} | {10: (1, 10, True), 11: (1, 10, False), 12: (0, 12, True), 13: (0, 13, True), 20: (1, 20, True), 21: (1, 20, False)}
+    assert got == want
+
+
 def test_search_recall_and_edge_cases(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(600, 16)).astype(np.float32)
@@ -283,6 +290,13 @@ def test_search_recall_and_edge_cases(spark):
     assert ann.search(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_search_in_every_length(spark):
+    data = [(i, [float(i), 1.0, 2.0]) for i in range(6)] + [(10 + i, [float(i * i), 1.0]) for i in range(4)] + [(30, [1.0] * 9)]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    got = {(r.query_id, r.rank): r.vec_id for r in ann.search(frame, frame.where("vec_id in (0, 10, 30)"), k=3).collect()}
+    assert got == {(0, 1): 1, (0, 2): 2, (0, 3): 3, (10, 1): 11, (10, 2): 12, (10, 3): 13}
+
+
 def test_licenses_by_containment(spark, none):
     filler = " ".join(f"word{i}" for i in range(300))
     texts = {1: f"{filler}\nReleased under the MIT License.\n{filler}", 2: licenses.TEMPLATES["apache-2.0"].upper(), 3: filler, 4: None, 5: licenses.TEMPLATES["gpl-3.0"].replace("program", "software") + filler, 6: "All rights"}
