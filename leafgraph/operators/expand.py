@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgraph.functions import text as X
 from leafgraph.operators import injection
-from leafgraph.operators.graph import MAX_DEPTH, kept
+from leafgraph.operators.graph import CIRCULAR, DEEP, MAX_DEPTH, MISSING, UNREADABLE, together
+from leafgraph.sources.scratch import kept
 
 #: Noncharacters, which texts for interchange don't hold: around a directive, and between its fields.
 MARK, FIELD = "﷐", "﷑"
@@ -41,7 +42,7 @@ def expand(docs: DataFrame, entries: DataFrame, variables: dict[str, str] | None
         rows = pending.join(docs.withColumnRenamed("path", "target").withColumn("there", F.lit(True)), "target", "left")
         chain = F.concat_ws(" -> ", "stack", F.array("target"))
         kind = F.when(F.lit(depth > max_depth), "depth_exceeded").when(F.array_contains("stack", F.col("target")), "circular").when(F.col("there").isNull(), "missing").when(F.col("content").isNull(), "read_error")
-        message = F.when(kind == "circular", F.concat(F.lit("circular reference: "), chain)).otherwise(F.concat(F.regexp_replace(kind, "_", " "), F.lit(": "), F.col("target")))
+        message = F.when(kind == "circular", F.concat(F.lit(CIRCULAR), chain)).when(kind == "missing", F.concat(F.lit(MISSING["walk"]), "target")).when(kind == "depth_exceeded", DEEP.format(max_depth)).otherwise(UNREADABLE)
         rows = kept(rows.withColumns({"kind": kind, "message": message}))
         warnings = add(warnings, rows.where("kind is not null").select("id", F.col("kind").alias("type"), F.col("target").alias("path"), "message"))
         rows = rows.where("kind is null")
@@ -68,14 +69,20 @@ def expand(docs: DataFrame, entries: DataFrame, variables: dict[str, str] | None
 
 
 def tree(edges: DataFrame, roots: DataFrame, max_depth: int = 6) -> DataFrame:
-    """(root, path, id, depth, kind, cycle): every walk from the roots; one that meets itself ends there, marked."""
-    step = edges.select("src", "dst", "type").distinct()
-    front = kept(roots.select(F.col("id").alias("root"), F.array("id").alias("path"), "id", F.lit(0).alias("depth"), F.lit("").alias("kind"), F.lit(False).alias("cycle")))
-    out = front
+    """(root, path, id, depth, kind, parallel, cycle, places, lasts): every walk from the roots; one that meets itself ends there, marked.
+
+    ``places`` are the positions among siblings on the way down, ``lasts`` whether each was the last of them.
+    """
+    order = Window.partitionBy("src").orderBy("ord", "dst", "type", "parallel")
+    step = edges.select("src", "dst", "type", "parallel", F.row_number().over(order).alias("place"))
+    step = kept(step.join(step.groupBy("src").agg(F.max("place").alias("n")), "src").select("src", "dst", "type", "parallel", "place", (F.col("place") == F.col("n")).alias("last")), "step")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    front = kept(roots.select(F.col("id").alias("root"), F.array("id").alias("path"), "id", F.lit(0).alias("depth"), F.lit("").alias("kind"), F.lit(False).alias("parallel"), F.lit(False).alias("cycle"), none("int").alias("places"), none("boolean").alias("lasts")), "walks")
+    out = [front]
     for depth in range(1, max_depth + 1):
-        rows = front.where("not cycle").join(step, F.col("id") == F.col("src"))
-        front = kept(rows.select("root", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("id"), F.lit(depth).alias("depth"), F.col("type").alias("kind"), F.array_contains("path", F.col("dst")).alias("cycle")))
+        rows = front.where("not cycle").drop("parallel").join(step, F.col("id") == F.col("src"))
+        front = kept(rows.select("root", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("id"), F.lit(depth).alias("depth"), F.col("type").alias("kind"), "parallel", F.array_contains("path", F.col("dst")).alias("cycle"), F.concat("places", F.array("place")).alias("places"), F.concat("lasts", F.array("last")).alias("lasts")), "walks")
         if front.isEmpty():
             break
-        out = out.unionByName(front)
-    return out
+        out.append(front)
+    return together(out)

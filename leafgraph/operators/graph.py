@@ -1,51 +1,54 @@
-"""The dependency graph: edges, nodes, warnings, closures, plans."""
+"""The dependency graph: edges, nodes, warnings, closures, plans.  A document's ``path`` is its key."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgraph.functions import text as X
+from leafgraph.sources.scratch import kept
 
+# The depth limit and the messages of warnings.
 MAX_DEPTH = 10
+MISSING = {"walk": "Referenced file does not exist: ", "ref": "@ref target does not exist: ", "read-ref": "Read reference target does not exist: ", "declared": "deps.yml target does not exist: "}
+CIRCULAR, DEEP, UNREADABLE, NOTHING = "Circular reference: ", "Maximum depth {} exceeded", "not valid UTF-8", "Neither SKILL.md nor deps.yml found"
 
-
-def kept(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder of ``spark.checkpoint.dir`` (a temporary one if unset) and read back, so that plans stay short."""
-    spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="leafgraph-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+WALKED = "type in ('include', 'delegate')"
 
 
 def all_edges(docs: DataFrame) -> DataFrame:
     """(src, dst, type, parallel, ord) of every directive and prose reference; an edge is its first four fields.
 
-    A prose reference that doesn't resolve beside its source is looked for in each folder above, nearest first.
+    Texts are read once: one projection finds both kinds, and what it finds is a table.  A prose reference that doesn't
+    resolve beside its source is looked for in each folder above, nearest first; only such references are joined again.
     """
-    known = docs.select("path", "content")
-    made = known.select(F.col("path").alias("src"), F.posexplode(X.directives(F.col("content"))).alias("ord", "d"))
-    made = made.select("src", X.resolve_path(F.col("src"), F.col("d.target")).alias("dst"), "d.type", "d.parallel", "ord")
-    refs = known.select(F.col("path").alias("src"), F.posexplode(X.read_refs(F.col("content"))).alias("ord", "target"))
-    depth = F.size(F.split("src", "/")) - 1
-    tried = refs.select("src", "ord", "target", F.explode(F.sequence(F.lit(0), F.greatest(depth, F.lit(0)))).alias("up"))
-    tried = tried.withColumn("dst", X.resolve_path(F.col("src"), F.concat(F.repeat(F.lit("../"), F.col("up")), F.col("target"))))
-    found = tried.join(docs.select(F.col("path").alias("dst")), "dst").groupBy("src", "ord", "target").agg(F.min_by("dst", "up").alias("dst"))
-    refs = refs.join(found, ["src", "ord", "target"], "left").select("src", F.coalesce("dst", X.resolve_path(F.col("src"), F.col("target"))).alias("dst"), F.lit("read-ref").alias("type"), F.lit(False).alias("parallel"), (F.col("ord") + 1_000_000).alias("ord"))
-    return made.unionByName(refs).groupBy("src", "dst", "type", "parallel").agg(F.min("ord").alias("ord"))
+    path = F.col("path")
+    own = F.transform(X.directives(F.col("content")), lambda d: F.struct(X.resolve_path(path, d["target"]).alias("dst"), d["type"].alias("type"), d["parallel"].alias("parallel")))
+    found = kept(docs.select("path", F.array_distinct(own).alias("own"), X.read_refs(F.col("content")).alias("refs")), "found")
+    made = found.select(path.alias("src"), F.posexplode("own").alias("ord", "d")).select("src", "d.dst", "d.type", "d.parallel", "ord")
+    refs = found.where("size(refs) > 0").select(path.alias("src"), F.posexplode("refs").alias("ord", "target"))
+    refs = refs.withColumns({"dst": X.resolve_path(F.col("src"), F.col("target")), "depth": F.size(F.split("src", "/")) - 1})
+    there = found.select(path.alias("dst"))
+    lost = refs.where("depth > 0").join(there, "dst", "left_anti").select("src", "ord", "target", F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("up"))
+    above = lost.withColumn("dst", X.resolve_path(F.col("src"), F.concat(F.repeat(F.lit("../"), F.col("up")), F.col("target"))))
+    above = above.join(there, "dst").groupBy("src", "ord").agg(F.min_by("dst", "up").alias("other"))
+    refs = refs.join(above, ["src", "ord"], "left").groupBy("src", F.coalesce("other", "dst").alias("dst")).agg(F.min("ord").alias("ord"))
+    return made.unionByName(refs.select("src", "dst", F.lit("read-ref").alias("type"), F.lit(False).alias("parallel"), (F.col("ord") + 1_000_000).alias("ord")))
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """Nodes of readable documents: id, type, missing, placeholders, title, desc, hash, size."""
+    """Nodes of documents: id, type, missing, placeholders, title, desc, hash, size; one that can't be read (null content) has no more than its type."""
     c = F.col("content")
-    return docs.select(F.col("path").alias("id"), X.node_type(F.col("path")).alias("type"), F.lit(False).alias("missing"), X.placeholders(c).alias("placeholders"), X.title(c).alias("title"), X.description(c).alias("desc"), X.content_hash(c).alias("hash"), X.byte_size(c).alias("size"))
+    blank = lambda x: F.coalesce(x, F.lit(""))
+    return docs.select(F.col("path").alias("id"), X.node_type(F.col("path")).alias("type"), F.lit(False).alias("missing"), F.coalesce(X.placeholders(c), F.array().cast("array<string>")).alias("placeholders"), X.title(c).alias("title"), blank(X.description(c)).alias("desc"), blank(X.content_hash(c)).alias("hash"), F.coalesce(X.byte_size(c), F.lit(0).cast("long")).alias("size"))
+
+
+def bare(ids: DataFrame, missing: Column, reference: str = "reference") -> DataFrame:
+    """Nodes that are only referred to, of paths (id)."""
+    kind = X.node_type(F.col("id"))
+    return ids.select("id", F.when(kind == "reference", reference).otherwise(kind).alias("type"), missing.alias("missing"), F.array().cast("array<string>").alias("placeholders"), *(F.lit("").alias(c) for c in ("title", "desc", "hash")), F.lit(0).cast("long").alias("size"))
 
 
 def missing_targets(docs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -55,20 +58,29 @@ def missing_targets(docs: DataFrame, edges: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, starts: DataFrame, limit: int = 10_000, bound: int | None = None) -> DataFrame:
     """(start, id, level) of everything reachable over the edges' (src, dst) in at least one step.
 
-    A start is in its own closure if a cycle leads back to it.  Only the frontier is joined each round; ``bound`` is a depth limit.
+    A start is in its own closure if a cycle leads back to it.  A round joins, and writes, the frontier alone; what has been
+    visited is the frontiers written so far.  ``bound`` is a depth limit.
     """
-    pairs = kept(edges.select("src", "dst").distinct())
-    frontier = kept(starts.select(F.col("id").alias("start"), F.col("id"), F.lit(0).alias("level")).distinct())
-    visited = frontier.limit(0)
+    pairs = kept(edges.select("src", "dst").distinct(), "pairs")
+    first = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("level")).distinct()
+    frontier, rounds = kept(first, "frontier"), []
     for level in range(1, (bound or limit) + 1):
-        step = frontier.join(pairs, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id"), F.lit(level).alias("level")).distinct()
-        frontier = kept(step.join(visited.select("start", "id"), ["start", "id"], "left_anti"))
+        step = frontier.join(pairs, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct()
+        if rounds:
+            step = step.join(together(rounds).select("start", "id"), ["start", "id"], "left_anti")
+        frontier = kept(step.withColumn("level", F.lit(level)), "frontier")
         if frontier.isEmpty():
-            return visited
-        visited = kept(visited.unionByName(frontier))
+            return together(rounds) if rounds else frontier
+        rounds.append(frontier)
     if bound is None:
         raise RuntimeError(f"no end of the closure after {limit} rounds")
-    return visited
+    return together(rounds)
+
+
+def together(parts: list[DataFrame]) -> DataFrame:
+    """Tables of ``kept`` with one schema, as one scan."""
+    files = [f for p in parts for f in p.inputFiles()]
+    return parts[0].sparkSession.read.schema(parts[0].schema).parquet(*files) if files else parts[0]
 
 
 def dependents(edges: DataFrame, ids: DataFrame, limit: int = 10_000) -> DataFrame:
@@ -76,24 +88,67 @@ def dependents(edges: DataFrame, ids: DataFrame, limit: int = 10_000) -> DataFra
     return closure(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ids, limit)
 
 
-def build(docs: DataFrame, entries: DataFrame, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+def circular(walk: DataFrame, entries: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Warnings (type, path, message) of the walks from the entries that meet themselves, with the way.
+
+    Only edges that still lead to a cycle are walked, so a graph without cycles costs nothing here; with them there is a
+    warning for each way, which may be many.
+    """
+    step = kept(walk.select("src", "dst").distinct(), "walk")
+    loops = kept(cyclic_nodes(step), "cyclic")
+    empty = loops.limit(0).select(F.lit("circular").alias("type"), F.col("id").alias("path"), F.col("id").alias("message"))
+    if loops.isEmpty():
+        return empty
+    live = kept(loops.unionByName(dependents(step, loops).select("id")).distinct(), "live")
+    step = kept(step.join(live.select(F.col("id").alias("dst")), "dst"), "walk")
+    ways, out = kept(entries.select(F.array("id").alias("way"), "id").distinct(), "ways"), []
+    for _ in range(max_depth):
+        rows = kept(ways.join(step, F.col("id") == F.col("src")).select(F.concat("way", F.array("dst")).alias("way"), F.col("dst").alias("id"), F.array_contains("way", F.col("dst")).alias("met")), "ways")
+        out.append(rows.where("met").select(F.lit("circular").alias("type"), F.col("id").alias("path"), F.concat(F.lit(CIRCULAR), F.array_join("way", " -> ")).alias("message")))
+        ways = rows.where("not met")
+        if ways.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, out, empty).distinct()
+
+
+def build(docs: DataFrame, entries: DataFrame, max_depth: int = MAX_DEPTH, declared: DataFrame | None = None, files: DataFrame | None = None, root: str = ".") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and warnings of what the entries reach.
 
-    Includes and delegations are followed, to ``max_depth``; other references make nodes that aren't read.
+    Includes and delegations are followed, to ``max_depth``; other references make nodes that aren't read.  ``declared``
+    (path, includes), of a dependency file, adds include edges that aren't followed.  ``files`` (path) says what exists
+    beside the documents.  A missing target has one warning, of the strongest kind of reference; a target is too deep if
+    no way to it is short enough.  Without an entry and a dependency file there is one warning on ``root``.
     """
-    edges = kept(all_edges(docs))
-    walk = edges.where("type in ('include', 'delegate')").join(docs.select(F.col("path").alias("src")), "src")
-    reached = kept(entries.select("id").distinct().withColumn("level", F.lit(0)).unionByName(closure(walk, entries, bound=max_depth + 1).groupBy("id").agg(F.min("level").alias("level"))).groupBy("id").agg(F.min("level").alias("level")))
-    walked = reached.where(F.col("level") <= max_depth)
-    own = edges.join(walked.select(F.col("id").alias("src")), "src")
-    read = parsed(docs).join(walked.select("id"), "id")
-    named = walked.select("id").unionByName(own.where("type in ('ref', 'read-ref')").select(F.col("dst").alias("id"))).distinct()
-    there = docs.select(F.col("path").alias("id"), F.lit(False).alias("gone"))
-    rest = named.join(read.select("id"), "id", "left_anti").join(there, "id", "left").select("id", X.node_type(F.col("id")).alias("type"), F.coalesce("gone", F.lit(True)).alias("missing"), F.array().cast("array<string>").alias("placeholders"), F.lit("").alias("title"), F.lit("").alias("desc"), F.lit("").alias("hash"), F.lit(0).cast("long").alias("size"))
-    nodes = read.unionByName(rest)
-    gone = nodes.where("missing").select(F.lit("missing").alias("type"), F.col("id").alias("path"), F.lit("file not found").alias("message"))
-    deep = reached.where(F.col("level") > max_depth).select(F.lit("depth_exceeded").alias("type"), F.col("id").alias("path"), F.lit(f"depth over {max_depth}").alias("message"))
-    return nodes, own, gone.unionByName(deep)
+    edges = kept(all_edges(docs), "edges")
+    exist = docs.select(F.col("path").alias("id"))
+    exist = kept((exist if files is None else exist.unionByName(files.select(F.col("path").alias("id")))).distinct(), "paths")
+    entries = kept(entries.select("id").distinct(), "entries")
+    walk = kept(edges.where(WALKED).join(docs.where("content is not null").select(F.col("path").alias("src")), "src", "left_semi"), "walk")
+    reached = entries.withColumn("level", F.lit(0)).unionByName(closure(walk, entries, bound=max_depth + 1).select("id", "level"))
+    reached = kept(reached.groupBy("id").agg(F.min("level").alias("level")), "reached")
+    walked = reached.where(F.col("level") <= max_depth).select("id")
+    own = edges.join(walked.select(F.col("id").alias("src")), "src", "left_semi")
+    read = parsed(docs.join(walked.select(F.col("id").alias("path")), "path", "left_semi"))
+    kind = F.when(F.col("type") == "ref", 1).otherwise(2)
+    named = walked.withColumn("by", F.lit(0)).unionByName(own.where(f"not {WALKED}").select(F.col("dst").alias("id"), kind.alias("by")))
+    if declared is not None:
+        whole = lambda c: X.resolve_path(F.lit(""), c)
+        more = kept(declared.select(whole(F.col("path")).alias("src"), F.posexplode_outer("includes").alias("i", "t")).select("src", whole(F.col("t")).alias("dst"), "i"), "declared")
+        own = own.unionByName(more.where("dst is not null").select("src", "dst", F.lit("include").alias("type"), F.lit(False).alias("parallel"), (F.col("i") + 2_000_000).alias("ord")))
+        own = own.groupBy("src", "dst", "type", "parallel").agg(F.min("ord").alias("ord"))
+        named = named.unionByName(more.select(F.col("src").alias("id"), F.lit(4).alias("by"))).unionByName(more.where("dst is not null").select(F.col("dst").alias("id"), F.lit(3).alias("by")))
+    named = kept(named.groupBy("id").agg(F.min("by").alias("by")).join(exist.withColumn("there", F.lit(True)), "id", "left").withColumn("gone", F.col("there").isNull()).drop("there"), "named")
+    rest = named.join(walked.join(docs.select(F.col("path").alias("id")), "id", "left_semi"), "id", "left_anti")
+    nodes = read.unionByName(bare(rest.where("by < 3"), F.col("gone"))).unionByName(bare(rest.where("by >= 3"), F.col("gone"), "document"))
+    said = reduce(lambda a, x: a.when(F.col("by") == x[0], x[1]), enumerate(MISSING.values()), F.when(F.lit(False), ""))
+    warn = lambda kind, rows, message: rows.select(F.lit(kind).alias("type"), F.col("id").alias("path"), message.alias("message"))
+    warnings = warn("missing", named.where("gone and by < 4"), F.concat(said, "id"))
+    warnings = warnings.unionByName(warn("depth_exceeded", reached.where(F.col("level") > max_depth), F.lit(DEEP.format(max_depth))))
+    unread = docs.where("content is null").select(F.col("path").alias("id")).join(walked, "id", "left_semi")
+    warnings = warnings.unionByName(warn("read_error", unread, F.lit(UNREADABLE))).unionByName(circular(walk.join(walked.select(F.col("id").alias("src")), "src", "left_semi"), entries, max_depth))
+    if declared is None and entries.isEmpty():
+        warnings = warnings.unionByName(docs.sparkSession.createDataFrame([("missing", root, NOTHING)], "type string, path string, message string"))
+    return nodes, own, warnings
 
 
 def tasks(edges: DataFrame) -> DataFrame:
@@ -101,10 +156,16 @@ def tasks(edges: DataFrame) -> DataFrame:
     return edges.where("type = 'delegate'").groupBy(F.col("dst").alias("task")).agg(F.bool_or("parallel").alias("parallel"))
 
 
-def task_dag(edges: DataFrame) -> DataFrame:
+def reach_of_tasks(edges: DataFrame) -> DataFrame:
+    """(task, id): what each task leads to, itself aside.  One closure serves needs, conflicts and contexts."""
+    every = tasks(edges).select(F.col("task").alias("id"))
+    return kept(closure(edges, every).where("start <> id").select(F.col("start").alias("task"), "id"), "reach")
+
+
+def task_dag(edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
     """(task, needs): which other tasks each task leads to."""
-    every = kept(tasks(edges).select(F.col("task").alias("id")))
-    return closure(edges, every).where("start <> id").join(every, "id", "left_semi").select(F.col("start").alias("task"), F.col("id").alias("needs"))
+    reach = reach_of_tasks(edges) if reach is None else reach
+    return reach.join(tasks(edges).select(F.col("task").alias("id")), "id", "left_semi").select("task", F.col("id").alias("needs"))
 
 
 def mutual_pairs(dag: DataFrame) -> DataFrame:
@@ -113,37 +174,69 @@ def mutual_pairs(dag: DataFrame) -> DataFrame:
 
 
 def levels(every: DataFrame, dag: DataFrame, limit: int = 10_000) -> DataFrame:
-    """(task, level): the longest chain of needs; tasks on a cycle are left out, also from others' needs."""
+    """(task, level): the longest chain of needs; tasks on a cycle are left out, also from others' needs.  A round writes one level, and what is left."""
     cyclic = mutual_pairs(dag)
-    cyclic = cyclic.select(F.col("a").alias("task")).unionByName(cyclic.select(F.col("b").alias("task"))).distinct()
-    left = kept(every.select("task").distinct().join(cyclic, "task", "left_anti"))
-    needs = kept(dag.join(cyclic, "task", "left_anti").join(cyclic.select(F.col("task").alias("needs")), "needs", "left_anti").select("task", "needs"))
-    out = left.limit(0).withColumn("level", F.lit(0))
+    cyclic = kept(cyclic.select(F.col("a").alias("task")).unionByName(cyclic.select(F.col("b").alias("task"))).distinct(), "cyclic")
+    left = kept(every.select("task").distinct().join(cyclic, "task", "left_anti"), "left")
+    needs = kept(dag.join(cyclic, "task", "left_anti").join(cyclic.select(F.col("task").alias("needs")), "needs", "left_anti").select("task", "needs"), "needs")
+    out = []
     for level in range(limit):
         if left.isEmpty():
-            return out
-        blocked = needs.join(left.select(F.col("task").alias("needs")), "needs").select("task").distinct()
-        ready = left.join(blocked, "task", "left_anti").withColumn("level", F.lit(level))
-        out = kept(out.unionByName(ready))
-        left = kept(left.join(out.select("task"), "task", "left_anti"))
+            return together(out) if out else left.withColumn("level", F.lit(0))
+        out.append(kept(left.join(needs.select("task").distinct(), "task", "left_anti").withColumn("level", F.lit(level)), "level"))
+        left = kept(left.join(out[-1], "task", "left_anti"), "left")
+        needs = kept(needs.join(out[-1].select(F.col("task").alias("needs")), "needs", "left_anti").select("task", "needs"), "needs")
     raise RuntimeError("levels do not end")
 
 
-def conflicts(edges: DataFrame, leveled: DataFrame) -> DataFrame:
+def conflicts(edges: DataFrame, leveled: DataFrame, reach: DataFrame | None = None) -> DataFrame:
     """(a, b, level, shared): tasks of a level that reach the same node which is no task."""
-    reach = closure(edges, leveled.select(F.col("task").alias("id"))).where("start <> id").select(F.col("start").alias("task"), "id")
-    reach = kept(reach.join(leveled.select(F.col("task").alias("id")), "id", "left_anti").join(leveled, "task"))
+    reach = reach_of_tasks(edges) if reach is None else reach
+    reach = kept(reach.join(tasks(edges).select(F.col("task").alias("id")), "id", "left_anti").join(leveled, "task"), "shared")
     other = reach.select(F.col("task").alias("b"), "id", "level")
     return reach.withColumnRenamed("task", "a").join(other, ["id", "level"]).where("a < b").groupBy("a", "b", "level").agg(F.sort_array(F.collect_set("id")).alias("shared"))
 
 
-def cyclic_nodes(edges: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Ids that lead back to themselves."""
-    return closure(edges, edges.select(F.col("src").alias("id")), limit).where("start = id").select("id")
+def trimmed(edges: DataFrame, limit: int) -> DataFrame:
+    """Without the edges that cannot lie on a cycle because nothing leads to their source or from their target."""
+    before = edges.count()
+    for _ in range(limit):
+        edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        edges = kept(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "trimmed")
+        now = edges.count()
+        if now == before:
+            return edges
+        before = now
+    raise RuntimeError("trimming does not end")
 
 
-def top_extensions(files: DataFrame, k: int = 5) -> DataFrame:
-    return files.groupBy("ext").count().orderBy(F.desc("count"), "ext").limit(k)
+def cyclic_nodes(edges: DataFrame, limit: int = 10_000) -> DataFrame:
+    """Ids that lead back to themselves: the members of strongly connected components.
+
+    Edges that cannot lie on a cycle are trimmed.  In what is left the largest id that leads to a node is its colour; from each
+    node that has its own colour a search backwards within the colour finds its component.  Components are taken out and
+    the rest is trimmed again.  Tables stay as large as the edges; rounds follow the longest way.
+    """
+    edges = kept(edges.select("src", "dst").distinct(), "edges")
+    found = [kept(edges.where("src = dst").select(F.col("src").alias("id")), "loops")]
+    edges = trimmed(edges.where("src <> dst"), limit)
+    while not edges.isEmpty():
+        colors = kept(edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct().withColumn("color", F.col("id")), "colors")
+        for _ in range(limit):
+            sent = edges.join(colors, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.max("color").alias("sent"))
+            now = kept(colors.join(sent, "id", "left").select("id", F.greatest("color", "sent").alias("color"), (F.col("sent") > F.col("color")).alias("moved")), "colors")
+            moved = not now.where("moved").isEmpty()
+            colors = now.drop("moved")
+            if not moved:
+                break
+        within = edges.join(colors.select(F.col("id").alias("src"), F.col("color").alias("a")), "src").join(colors.select(F.col("id").alias("dst"), F.col("color").alias("b")), "dst").where("a = b").select("src", "dst")
+        roots = colors.where("id = color").select("id")
+        part = kept(dependents(within, roots, limit).select("id").distinct(), "component")
+        found.append(part)
+        gone = kept(part.unionByName(roots).distinct(), "gone")
+        edges = edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti")
+        edges = trimmed(kept(edges.select("src", "dst"), "edges"), limit)
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def recent(events: DataFrame, n: int = 5) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The engine's queries on the rendered corpus and the given tables, with SQL that finds the results from the tables directly."""
+"""Queries of the graph and of aggregates on the rendered corpus and the given tables."""
 
 from __future__ import annotations
 
@@ -9,39 +9,39 @@ from leafgraph.functions import text as X
 from leafgraph.operators import expand as E
 from leafgraph.operators import graph as G
 from leafgraph.operators import health as H
+from leafgraph.operators import index as I
 from leafgraph.operators import injection
+from leafgraph.operators import plan as P
+from leafgraph.operators import reports as R
+from leafgraph.plans.registry import query
 from leafgraph.sources import corpus as C
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
 #: The edges of the rendered corpus, from the rows it is rendered from.
 EDGES = """
 n AS (SELECT (SELECT count(*) FROM part) AS np, (SELECT count(*) FROM supplier) AS ns),
 edges AS (
-  SELECT DISTINCT 'orders/' || l_orderkey || '.md' AS src, 'parts/' || l_partkey || '.md' AS dst,
-    CASE l_returnflag WHEN 'A' THEN 'include' WHEN 'N' THEN 'ref' ELSE 'delegate' END AS type, l_linestatus = 'F' AS parallel
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  UNION ALL SELECT 'parts/' || p_partkey || '.md', 'suppliers/' || (p_partkey % ns + 1) || '.md', 'include', FALSE FROM part, n WHERE p_partkey % 17 <> 0
-  UNION ALL SELECT 'parts/' || p_partkey || '.md', 'parts/' || ((7 * p_partkey + 3) % np + 1) || '.md', 'delegate', FALSE FROM part, n WHERE p_partkey % 17 <> 0
-  UNION ALL SELECT 'suppliers/' || s_suppkey || '.md', 'nations/' || s_nationkey || '.md', 'read-ref', FALSE FROM supplier
-  UNION ALL SELECT 'nations/' || n_nationkey || '.md', 'regions/' || n_regionkey || '.md', 'include', FALSE FROM nation),
+  SELECT 'orders/' || l_orderkey || '.md' AS src, 'parts/' || l_partkey || '.md' AS dst,
+    CASE l_returnflag WHEN 'A' THEN 'include' WHEN 'N' THEN 'ref' ELSE 'delegate' END AS type, l_linestatus = 'F' AS parallel, min(l_linenumber) AS ord
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3, 4
+  UNION ALL SELECT 'parts/' || p_partkey || '.md', 'suppliers/' || (p_partkey % ns + 1) || '.md', 'include', FALSE, 0 FROM part, n WHERE p_partkey % 17 <> 0
+  UNION ALL SELECT 'parts/' || p_partkey || '.md', 'parts/' || ((7 * p_partkey + 3) % np + 1) || '.md', 'delegate', FALSE, 1 FROM part, n WHERE p_partkey % 17 <> 0
+  UNION ALL SELECT 'suppliers/' || s_suppkey || '.md', 'nations/' || s_nationkey || '.md', 'read-ref', FALSE, 0 FROM supplier
+  UNION ALL SELECT 'nations/' || n_nationkey || '.md', 'regions/' || n_regionkey || '.md', 'include', FALSE, 0 FROM nation
+  UNION ALL SELECT 'SKILL.md', 'agents/nation_' || n_nationkey || '.md', 'delegate', n_nationkey % 2 = 0, 1 + n_nationkey FROM nation
+  UNION ALL SELECT 'SKILL.md', x, t, FALSE, o FROM (VALUES ('orders/1.md', 'include', 0), ('references/none.md', 'ref', 100)) v(x, t, o)
+  UNION ALL SELECT 'SKILL.md', 'prompts/region_' || r_regionkey || '.md', 'read-ref', FALSE, 200 + r_regionkey FROM region
+  UNION ALL SELECT 'agents/nation_' || n_nationkey || '.md', 'shared/region_' || n_regionkey || '.md', 'include', FALSE, 0 FROM nation
+  UNION ALL SELECT 'agents/nation_' || n_nationkey || '.md', 'agents/nation_' || CASE WHEN n_nationkey % 5 = 4 THEN n_nationkey - 1 ELSE n_nationkey + 1 END || '.md', 'delegate', FALSE, 1 FROM nation
+  UNION ALL SELECT 'agents/nation_' || n_nationkey || '.md', 'prompts/region_' || n_regionkey || '.md', 'read-ref', FALSE, 2 FROM nation
+  UNION ALL SELECT 'shared/region_' || r_regionkey || '.md', 'assets/region_' || r_regionkey || '.md', 'ref', FALSE, 0 FROM region),
 files AS (
   SELECT 'orders/' || o_orderkey || '.md' AS path FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'parts/' || p_partkey || '.md' FROM part WHERE p_partkey % 17 <> 0
-  UNION ALL SELECT 'suppliers/' || s_suppkey || '.md' FROM supplier UNION ALL SELECT 'nations/' || n_nationkey || '.md' FROM nation UNION ALL SELECT 'regions/' || r_regionkey || '.md' FROM region)
+  UNION ALL SELECT 'suppliers/' || s_suppkey || '.md' FROM supplier UNION ALL SELECT 'nations/' || n_nationkey || '.md' FROM nation UNION ALL SELECT 'regions/' || r_regionkey || '.md' FROM region
+  UNION ALL SELECT 'SKILL.md' UNION ALL SELECT 'agents/nation_' || n_nationkey || '.md' FROM nation
+  UNION ALL SELECT f || '/region_' || r_regionkey || '.md' FROM region, (VALUES ('shared'), ('prompts'), ('assets')) v(f))
 """
 
 
-def query(name: str, oracle: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if oracle:
-            ORACLE[name] = oracle
-        return f
-
-    return add
-
-
 def _edges(spark, d):
     return G.all_edges(C.documents(spark, d))
 
@@ -61,15 +61,33 @@ def direct_deps(spark, d):
     return _edges(spark, d).groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("t")).select("src", F.size("t").cast("long").alias("n_targets"), F.array_join("t", ",").alias("targets"))
 
 
-@query("titles", "SELECT 'orders/' || o_orderkey || '.md' AS path, 'Order ' || o_orderkey AS title, 'For {{seg_' || lower(c_mktsegment) || '}} and friends.' AS description FROM orders JOIN customer ON o_custkey = c_custkey")
+#: Path, title and description of every file, from the rows.
+_TITLES = """SELECT 'orders/' || o_orderkey || '.md' AS path, 'Order ' || o_orderkey AS title, 'For {{seg_' || lower(c_mktsegment) || '}} and friends.' AS description FROM orders JOIN customer ON o_custkey = c_custkey
+  UNION ALL SELECT 'parts/' || p_partkey || '.md', 'Part ' || p_partkey, '' FROM part WHERE p_partkey % 17 <> 0
+  UNION ALL SELECT 'suppliers/' || s_suppkey || '.md', 'Supplier ' || s_suppkey, 'See ../nations/' || s_nationkey || '.md for {{country}}.' FROM supplier
+  UNION ALL SELECT 'nations/' || n_nationkey || '.md', n_name, '' FROM nation
+  UNION ALL SELECT 'regions/' || r_regionkey || '.md', r_name, 'A region.' FROM region
+  UNION ALL SELECT 'SKILL.md', 'The entry skill', 'Runs all agents.'
+  UNION ALL SELECT 'agents/nation_' || n_nationkey || '.md', 'Agent ' || n_name, 'Acts for {{region}}.' FROM nation
+  UNION ALL SELECT 'shared/region_' || r_regionkey || '.md', 'Shared ' || r_name, 'Known as {{region}}.' FROM region
+  UNION ALL SELECT 'prompts/region_' || r_regionkey || '.md', 'Prompt ' || r_name, 'Say {{greeting}} in {{region}}.' FROM region
+  UNION ALL SELECT 'assets/region_' || r_regionkey || '.md', 'Asset ' || r_name, '' FROM region"""
+
+
+@query("titles", _TITLES)
 def titles(spark, d):
-    return C.documents(spark, d).where(F.col("path").startswith("orders/")).select("path", X.title(F.col("content")).alias("title"), X.description(F.col("content")).alias("description"))
+    return C.documents(spark, d).select("path", X.title(F.col("content")).alias("title"), X.description(F.col("content")).alias("description"))
+
+
+#: Placeholders of each file, from the rows.
+_NAMES = """SELECT 'orders/' || o_orderkey || '.md' AS path, 'seg_' || lower(c_mktsegment) AS name FROM orders JOIN customer ON o_custkey = c_custkey
+  UNION ALL SELECT 'suppliers/' || s_suppkey || '.md', 'country' FROM supplier UNION ALL SELECT 'agents/nation_' || n_nationkey || '.md', 'region' FROM nation
+  UNION ALL SELECT 'shared/region_' || r_regionkey || '.md', 'region' FROM region UNION ALL SELECT 'prompts/region_' || r_regionkey || '.md', n FROM region, (VALUES ('region'), ('greeting')) v(n)"""
 
 
-@query("placeholder_findings", "SELECT 'seg_' || lower(c_mktsegment) AS name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 UNION ALL SELECT 'country', count(*) FROM supplier")
+@query("placeholder_findings", f"SELECT path, 'unresolved placeholder: {{{{' || name || '}}}}' AS message FROM ({_NAMES})")
 def placeholder_findings(spark, d):
-    found = H.unresolved_placeholders(C.documents(spark, d))
-    return found.groupBy(F.regexp_extract("message", r"\{\{(.*)\}\}", 1).alias("name")).agg(F.count("*").alias("n"))
+    return H.unresolved_placeholders(C.documents(spark, d)).select("path", "message")
 
 
 @query("missing_references", f"WITH {EDGES} SELECT DISTINCT dst AS path, 'error' AS severity FROM edges WHERE dst NOT IN (SELECT path FROM files)")
@@ -83,7 +101,10 @@ def conflicting_directives(spark, d):
     return H.conflicting_directives(_edges(spark, d)).select("path", "message")
 
 
-@query("node_types", f"WITH {EDGES} SELECT 'reference' AS type, count(*) AS n FROM files")
+_TYPE = "CASE WHEN {0} = 'SKILL.md' THEN 'skill' WHEN {0} LIKE 'agents/%' THEN 'agent' WHEN {0} LIKE 'shared/%' THEN 'shared' WHEN {0} LIKE 'prompts/%' THEN 'prompt' WHEN {0} LIKE 'assets/%' THEN 'template' ELSE 'reference' END"
+
+
+@query("node_types", f"WITH {EDGES} SELECT {_TYPE.format('path')} AS type, count(*) AS n FROM files GROUP BY 1")
 def node_types(spark, d):
     return C.documents(spark, d).groupBy(X.node_type(F.col("path")).alias("type")).agg(F.count("*").alias("n"))
 
@@ -99,7 +120,7 @@ def reachable_from_part(spark, d):
     return G.closure(edges, spark.createDataFrame([("parts/1.md",)], "id string")).select("id")
 
 
-@query("affected_by_supplier", f"WITH RECURSIVE {EDGES}, back(id) AS (SELECT src FROM edges WHERE dst = 'suppliers/1.md' UNION SELECT src FROM back JOIN edges ON dst = id WHERE src LIKE 'parts/%' OR src LIKE 'suppliers/%' OR src LIKE 'nations/%') SELECT id FROM back")
+@query("affected_by_supplier", f"WITH RECURSIVE {EDGES}, back(id) AS (SELECT src FROM edges WHERE dst = 'suppliers/1.md' UNION SELECT src FROM back JOIN edges ON dst = id) SELECT id FROM back")
 def affected_by_supplier(spark, d):
     return G.dependents(_edges(spark, d), spark.createDataFrame([("suppliers/1.md",)], "id string")).select("id")
 
@@ -122,93 +143,104 @@ def task_flags(spark, d):
     return G.tasks(_edges(spark, d))
 
 
-def _nation_plan(spark, d):
-    """A small plan: regions delegate to their nations, a nation to the next one of its region by key."""
-    n = C.table(spark, d, "nation")
-    nxt = F.expr("lead(n_nationkey) over (partition by n_regionkey order by n_nationkey)")
-    a = n.select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"))
-    b = n.select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("n"), nxt).alias("dst")).where("dst is not null")
-    delegates = a.unionByName(b).withColumns({"type": F.lit("delegate"), "parallel": F.lit(False)})
-    shared = n.select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("doc"), F.col("n_nationkey") % 3).alias("dst"), F.lit("include").alias("type"), F.lit(False).alias("parallel"))
-    return G.kept(delegates.unionByName(shared))
+#: The plan's edges, from the rows, with what tasks reach, need and are excluded for.
+PLAN = """
+sup AS (SELECT s_suppkey AS k, s_nationkey, (s_suppkey - 1) % 4 AS i, (s_suppkey - 1) // 4 AS g, (SELECT count(*) FROM supplier) AS n FROM supplier),
+edges AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'delegate' AS type, n_nationkey % 2 = 0 AS parallel FROM nation
+  UNION ALL SELECT 'n' || s_nationkey, 's' || k, 'delegate', k % 3 = 0 FROM sup UNION ALL SELECT 's' || k, 's' || (k + 1), 'delegate', FALSE FROM sup WHERE i < 3 AND k < n
+  UNION ALL SELECT 's' || k, 's' || (k - 1), 'delegate', FALSE FROM sup WHERE i = 1 AND g % 10 = 1 UNION ALL SELECT 's' || k, 'doc' || (k // 3), 'include', FALSE FROM sup),
+tasks AS (SELECT dst AS task, bool_or(parallel) AS parallel FROM edges WHERE type = 'delegate' GROUP BY 1),
+reach(task, id) AS (SELECT src, dst FROM edges UNION SELECT task, dst FROM reach JOIN edges ON src = id),
+needs AS (SELECT task, id AS needs FROM reach WHERE task <> id AND task IN (SELECT task FROM tasks) AND id IN (SELECT task FROM tasks)),
+mutual AS (SELECT a.task AS a, a.needs AS b FROM needs a JOIN needs b ON a.task = b.needs AND a.needs = b.task AND a.task < a.needs),
+ok AS (SELECT task FROM tasks WHERE task NOT IN (SELECT a FROM mutual UNION SELECT b FROM mutual)),
+chain(task, level) AS (SELECT task, 0 FROM ok UNION SELECT n.task, level + 1 FROM chain JOIN needs n ON n.needs = chain.task JOIN ok ON ok.task = n.task),
+levels AS (SELECT task, max(level) AS level FROM chain GROUP BY 1),
+shared AS (SELECT r.task, level, id FROM reach r JOIN levels USING (task) WHERE id NOT IN (SELECT task FROM tasks)),
+clashes AS (SELECT x.task AS a, y.task AS b, x.level AS level, string_agg(DISTINCT x.id, ',' ORDER BY x.id) AS shared FROM shared x JOIN shared y ON x.level = y.level AND x.id = y.id AND x.task < y.task GROUP BY 1, 2, 3)
+"""
 
 
-_LEVELS = "SELECT 'n' || n_nationkey AS task, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) - 1 AS INTEGER) AS level FROM nation"
+def _plan(spark, d):
+    edges = C.plan_edges(spark, d)
+    ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    files = I.compact(G.bare(ids, F.lit(False)), edges)
+    return P.build_plan(G.kept(files), spark.createDataFrame([], "type string, path string, message string"))
 
 
-@query("plan_levels", _LEVELS)
+@query("plan_levels", f"WITH RECURSIVE {PLAN} SELECT t.task, t.parallel, CAST(level AS INTEGER) AS level, coalesce((SELECT string_agg(needs, ',' ORDER BY needs) FROM needs n WHERE n.task = t.task), '') AS depends_on FROM tasks t LEFT JOIN levels USING (task)")
 def plan_levels(spark, d):
-    edges = _nation_plan(spark, d)
-    return G.levels(G.tasks(edges), G.kept(G.task_dag(edges)))
+    return _plan(spark, d).tasks.select("task", "parallel", "level", F.array_join("depends_on", ",").alias("depends_on"))
 
 
-@query("plan_conflicts", f"WITH l AS ({_LEVELS}), r AS (SELECT DISTINCT 'n' || a.n_nationkey AS task, 'doc' || (b.n_nationkey % 3) AS doc FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND b.n_nationkey >= a.n_nationkey), x AS (SELECT task, level, doc FROM r JOIN l USING (task)) SELECT x.task AS a, y.task AS b, x.level AS level, string_agg(x.doc, ',' ORDER BY x.doc) AS shared FROM x JOIN x y ON x.level = y.level AND x.doc = y.doc AND x.task < y.task GROUP BY 1, 2, 3")
+@query("plan_conflicts", f"WITH RECURSIVE {PLAN} SELECT a, b, CAST(level AS INTEGER) AS level, shared FROM clashes")
 def plan_conflicts(spark, d):
-    edges = _nation_plan(spark, d)
-    leveled = G.levels(G.tasks(edges), G.kept(G.task_dag(edges)))
-    return G.conflicts(edges, leveled).withColumn("shared", F.array_join("shared", ","))
+    return _plan(spark, d).conflicts.withColumn("shared", F.array_join("shared", ","))
 
 
-@query("cyclic_parts", f"WITH RECURSIVE {EDGES}, walk(start, id) AS (SELECT src, dst FROM edges WHERE type = 'delegate' AND src LIKE 'parts/%' UNION SELECT start, dst FROM walk JOIN edges ON src = id WHERE type = 'delegate') SELECT start AS id FROM walk WHERE start = id")
-def cyclic_parts(spark, d):
-    edges = _edges(spark, d).where("type = 'delegate' and src like 'parts/%'")
-    return G.cyclic_nodes(edges)
+@query("plan_cycles", f"WITH RECURSIVE {PLAN} SELECT a || ' <-> ' || b || ' (task cycle)' AS message FROM mutual")
+def plan_cycles(spark, d):
+    return _plan(spark, d).cycles
 
 
-_EXPANDED = """SELECT 'parts/' || p_partkey || '.md' AS id, '# Part ' || p_partkey || chr(10) || coalesce('# Supplier ' || s_suppkey || chr(10) || chr(10) || 'See `../nations/' || s_nationkey || '.md` for home.' || chr(10), '') || chr(10) || '@delegate ./../parts/' || ((7 * p_partkey + 3) % np + 1) || '.md' || chr(10) AS content
-  FROM part, (SELECT (SELECT count(*) FROM part) AS np, (SELECT count(*) FROM supplier) AS ns) LEFT JOIN supplier ON s_suppkey = p_partkey % ns + 1 WHERE p_partkey % 17 <> 0"""
+@query("plan_contexts", f"WITH RECURSIVE {PLAN} SELECT task, id AS path FROM reach WHERE task <> id AND task IN (SELECT task FROM tasks)")
+def plan_contexts(spark, d):
+    return _plan(spark, d).contexts.select("task", "path")
 
 
-@query("expanded_parts", _EXPANDED)
-def expanded_parts(spark, d):
-    docs = G.kept(C.documents(spark, d))
-    entries = docs.where("path like 'parts/%'").select(F.col("path").alias("id"))
-    return E.expand(docs, entries, {"country": "home"})[0].select("id", "content")
+@query("plan_text", f"""WITH RECURSIVE {PLAN},
+n AS (SELECT (SELECT count(*) FROM tasks) AS t, (SELECT count(DISTINCT level) FROM levels) AS b),
+lines AS (SELECT 0 AS a, '' AS k, 0 AS s, '# plan — ' || t || ' tasks, ' || b || ' batches' AS line FROM n
+  UNION ALL SELECT 1, lpad(CAST(level AS VARCHAR), 9, '0'), 0, 'Level ' || level || CASE WHEN count(*) > 1 THEN ' (parallel)' ELSE '' END || ':' FROM levels GROUP BY level
+  UNION ALL SELECT 1, lpad(CAST(level AS VARCHAR), 9, '0'), 1, '  - ' || task || CASE WHEN parallel THEN ' ‖' ELSE '' END FROM levels JOIN tasks USING (task)
+  UNION ALL SELECT 2, '', 0, '' UNION ALL SELECT 2, '', 1, 'Conflicts (warning — parallel kept):'
+  UNION ALL SELECT 3, '', 0, '  - L' || level || ': ' || a || ' & ' || b || ' share ' || replace(shared, ',', ', ') FROM clashes)
+SELECT line FROM lines UNION ALL SELECT x FROM (VALUES (''), ('Cycles (error):')) v(x) WHERE (SELECT count(*) FROM mutual) > 0 UNION ALL SELECT '  - ' || a || ' <-> ' || b || ' (task cycle)' FROM mutual""")
+def plan_text(spark, d):
+    return R.plan_lines(_plan(spark, d)).select("line")
 
 
-@query("walks_from_nations", "SELECT 'nations/' || n_nationkey || '.md' AS root, 'nations/' || n_nationkey || '.md' AS path, CAST(0 AS INTEGER) AS depth, '' AS kind FROM nation UNION ALL SELECT 'nations/' || n_nationkey || '.md', 'nations/' || n_nationkey || '.md > regions/' || n_regionkey || '.md', CAST(1 AS INTEGER), 'include' FROM nation")
-def walks_from_nations(spark, d):
-    edges = _edges(spark, d)
-    roots = C.table(spark, d, "nation").select(F.concat(F.lit("nations/"), "n_nationkey", F.lit(".md")).alias("id"))
-    return E.tree(G.kept(edges), roots).select("root", F.array_join("path", " > ").alias("path"), "depth", "kind")
+@query("cyclic_files", f"WITH RECURSIVE {EDGES}, e AS (SELECT DISTINCT src, dst FROM edges WHERE type IN ('include', 'delegate')), walk(start, id) AS (SELECT src, dst FROM e WHERE src NOT LIKE 'orders/%' AND src <> 'SKILL.md' UNION SELECT start, dst FROM walk JOIN e ON src = id) SELECT start AS id FROM walk WHERE start = id")
+def cyclic_files(spark, d):
+    """Nothing leads to orders but the entry, and nothing to the entry: the SQL leaves them out as starts."""
+    return G.cyclic_nodes(_edges(spark, d).where(G.WALKED))
 
 
-@query("document_stats", "SELECT doc_id, substr(sha256(text), 1, 16) AS hash, octet_length(encode(text)) AS size, greatest(1, length(text) // 4) AS tokens FROM documents")
-def document_stats(spark, d):
-    t = F.col("text")
-    return C.table(spark, d, "documents").select("doc_id", X.content_hash(t).alias("hash"), X.byte_size(t).alias("size"), X.token_estimate(t).alias("tokens"))
-
-
-_PATHS = "SELECT regexp_replace(url, '^https?://|[?#].*$', '', 'g') AS path, octet_length(encode(html)) AS bytes FROM pages"
-
-
-def _files(spark, d):
-    return C.table(spark, d, "pages").select(F.regexp_replace("url", r"^https?://|[?#].*$", "").alias("path"), X.byte_size(F.col("html")).alias("bytes"))
-
-
-@query("inventory_by_extension", f"WITH f AS ({_PATHS}) SELECT lower(regexp_extract(string_split(path, '/')[-1], '^.+(\\.[^.]+)$', 1)) AS ext, count(*) AS n_files, CAST(sum(bytes) AS BIGINT) AS n_bytes FROM f GROUP BY 1")
-def inventory_by_extension(spark, d):
-    return H.by_extension(_files(spark, d))
+#: Texts of all files after expansion: white space around an include goes with it, other directives stay as they are.
+_EXPANDED = """WITH n AS (SELECT (SELECT count(*) FROM part) AS np, (SELECT count(*) FROM supplier) AS ns),
+s AS (SELECT s_suppkey AS k, '# Supplier ' || s_suppkey || chr(10) || chr(10) || 'See `../nations/' || s_nationkey || '.md` for home.' || chr(10) AS x FROM supplier),
+p AS (SELECT p_partkey AS k, '# Part ' || p_partkey || chr(10) || coalesce(s.x, '') || chr(10) || '@delegate ./../parts/' || ((7 * p_partkey + 3) % np + 1) || '.md' || chr(10) AS x FROM (SELECT * FROM part, n) LEFT JOIN s ON s.k = p_partkey % ns + 1 WHERE p_partkey % 17 <> 0),
+l AS (SELECT l_orderkey, l_linenumber, l_returnflag = 'A' AS inc, '@' || CASE l_returnflag WHEN 'A' THEN 'include' WHEN 'N' THEN 'ref' ELSE 'delegate' END || ' ../parts/' || l_partkey || '.md' || CASE WHEN l_linestatus = 'F' THEN ' --parallel' ELSE '' END AS line, coalesce(p.x, '') AS x FROM lineitem LEFT JOIN p ON p.k = l_partkey),
+li AS (SELECT l_orderkey, string_agg(CASE WHEN inc THEN x ELSE line END, chr(10) ORDER BY l_linenumber, line) AS x, arg_min(inc, (l_linenumber, line)) AS a, arg_max(inc, (l_linenumber, line)) AS b FROM l GROUP BY 1),
+o AS (SELECT o_orderkey AS k, '# Order **' || o_orderkey || '**' || chr(10) || chr(10) || 'For {{seg_' || lower(c_mktsegment) || '}} and' || chr(10) || '[friends](x.html).' || chr(10) || CASE WHEN a THEN '' ELSE chr(10) END || coalesce(li.x, '') || CASE WHEN b THEN '' ELSE chr(10) END AS x FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN li ON l_orderkey = o_orderkey),
+r AS (SELECT r_regionkey AS k, '# ' || r_name || chr(10) || chr(10) || 'A region.' || chr(10) AS x, '# Shared ' || r_name || chr(10) || chr(10) || 'Known as {{region}}.' || chr(10) || '@ref ../assets/region_' || r_regionkey || '.md' || chr(10) AS shared FROM region)
+SELECT 'suppliers/' || k || '.md' AS id, x AS content FROM s UNION ALL SELECT 'parts/' || k || '.md', x FROM p UNION ALL SELECT 'orders/' || k || '.md', x FROM o UNION ALL SELECT 'regions/' || k || '.md', x FROM r UNION ALL SELECT 'shared/region_' || k || '.md', shared FROM r
+UNION ALL SELECT 'nations/' || n_nationkey || '.md', '# ' || n_name || chr(10) || r.x FROM nation JOIN r ON r.k = n_regionkey
+UNION ALL SELECT 'prompts/region_' || r_regionkey || '.md', '---' || chr(10) || 'risk:' || chr(10) || '  - fragile' || chr(10) || '  - unknown' || chr(10) || '---' || chr(10) || '# Prompt ' || r_name || chr(10) || chr(10) || 'Say {{greeting}} in {{region}}.' || chr(10) FROM region
+UNION ALL SELECT 'assets/region_' || r_regionkey || '.md', '---' || chr(10) || 'risk: security-sensitive' || chr(10) || '---' || chr(10) || '# Asset ' || r_name || chr(10) FROM region
+UNION ALL SELECT 'agents/nation_' || n_nationkey || '.md', '# Agent ' || n_name || chr(10) || chr(10) || 'Acts for {{region}}.' || chr(10) || r.shared || chr(10) || '@delegate nation_' || CASE WHEN n_nationkey % 5 = 4 THEN n_nationkey - 1 ELSE n_nationkey + 1 END || '.md' || chr(10) || chr(10) || 'See ''prompts/region_' || n_regionkey || '.md'' first.' || chr(10) FROM nation JOIN r ON r.k = n_regionkey
+UNION ALL SELECT 'SKILL.md', '---' || chr(10) || 'name: entry' || chr(10) || 'risk: [x]' || chr(10) || '---' || chr(10) || '# The `entry` *skill*' || chr(10) || chr(10) || chr(9) || 'Runs all' || chr(9) || chr(10) || ' **agents**.' || chr(10) || chr(10) || 'Then:' || chr(10) || (SELECT x FROM o WHERE k = 1) || chr(10)
+  || (SELECT string_agg('@delegate agents/nation_' || n_nationkey || '.md' || CASE WHEN n_nationkey % 2 = 0 THEN ' --parallel' ELSE '' END, chr(10) ORDER BY n_nationkey) FROM nation) || chr(10) || '@ref references/none.md' || chr(10) || chr(10) || (SELECT string_agg('- `prompts/region_' || r_regionkey || '.md`', chr(10) ORDER BY r_regionkey) FROM region) || chr(10)"""
 
 
-@query("inventory_totals", f"WITH f AS ({_PATHS}) SELECT count(*) AS n_files, CAST(sum(bytes) AS BIGINT) AS n_bytes, CAST(0 AS BIGINT) AS n_markdown, FALSE AS any_cjk, CAST(0 AS BIGINT) AS markdown_permille FROM f")
-def inventory_totals(spark, d):
-    return H.totals(_files(spark, d))
+@query("expanded", _EXPANDED)
+def expanded(spark, d):
+    docs = G.kept(C.documents(spark, d))
+    return E.expand(docs, docs.select(F.col("path").alias("id")), {"country": "home"})[0].select("id", "content")
 
 
-@query("largest_files", f"WITH f AS ({_PATHS}) SELECT path, bytes FROM f ORDER BY bytes DESC, path LIMIT 5")
-def largest_files(spark, d):
-    return _files(spark, d).orderBy(F.desc("bytes"), "path").limit(5)
+@query("walks", f"""WITH RECURSIVE {EDGES},
+w(path, id, depth, kind, cycle) AS (SELECT ['SKILL.md'], 'SKILL.md', 0, '', FALSE
+  UNION ALL SELECT list_append(path, dst), dst, depth + 1, type, list_contains(path, dst) FROM w JOIN edges ON src = id WHERE NOT cycle AND depth < 6)
+SELECT array_to_string(path, ' > ') AS path, CAST(depth AS INTEGER) AS depth, kind, cycle FROM w""")
+def walks(spark, d):
+    return E.tree(G.kept(_edges(spark, d)), spark.createDataFrame([("SKILL.md",)], "id string")).select(F.array_join("path", " > ").alias("path"), "depth", "kind", "cycle")
 
 
-@query("role_spoof_lines", "SELECT conv_id || '-' || turn AS source, CAST(1 AS INTEGER) AS line, 'role-spoof' AS rule FROM conversations WHERE (conv_id + turn) % 3 <> 0 AND (conv_id + turn) % 5 <> 0 AND role IN ('user', 'assistant', 'system')")
-def role_spoof_lines(spark, d):
-    """Every third turn is fenced, every fifth allows the rule."""
-    k = F.col("conv_id") + F.col("turn")
-    said = F.concat(F.initcap("role"), F.lit(": "), F.col("text"))
-    text = F.when(k % 3 == 0, F.concat(F.lit("```\n"), said, F.lit("\n```"))).when(k % 5 == 0, F.concat(said, F.lit("\n<!-- x-allow: role-spoof -->"))).otherwise(said)
-    docs = C.table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("source"), text.alias("text"))
-    return injection.scan(docs).select("source", "line", "rule")
+@query("document_stats", "SELECT doc_id, substr(sha256(text), 1, 16) AS hash, octet_length(encode(text)) AS size, greatest(1, length(text) // 4) AS tokens FROM documents")
+def document_stats(spark, d):
+    t = F.col("text")
+    return C.table(spark, d, "documents").select("doc_id", X.content_hash(t).alias("hash"), X.byte_size(t).alias("size"), X.token_estimate(t).alias("tokens"))
 
 
 _ACTIVE = """a AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'fix-failed' WHEN 'click' THEN 'fragile' WHEN 'signup' THEN 'deprecated' END AS tag, event_type FROM events),
@@ -242,8 +274,3 @@ def changed_files(spark, d):
 @query("cost_inputs", "SELECT count(*) AS n_docs, CAST(sum(least(length(text), 500)) AS BIGINT) AS chars, CAST((sum(least(length(text), 500)) + 30 * count(*)) // 4 + 800 AS BIGINT) AS input_tokens FROM documents WHERE trim(text, ' \n\t\r') <> ''")
 def cost_inputs(spark, d):
     return H.cost_inputs(C.table(spark, d, "documents"))
-
-
-@query("corpus_hash", None)
-def corpus_hash(spark, d):
-    return H.fold_hash(C.documents(spark, d))

@@ -12,7 +12,6 @@ from pyspark.sql.types import StringType
 from leafgraph.operators.health import RISK_TAGS
 
 LEDGER = "ts string, file string, action string, tag string, note string"
-INDEX_SCHEMA = 1
 
 
 def ledger_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -37,22 +36,20 @@ def append_events(events: DataFrame, path: str) -> None:
     events.select(ts.alias("ts"), "file", checked.alias("action"), "tag", F.nullif("note", F.lit("")).alias("note")).write.mode("append").option("ignoreNullFields", "true").json(path)
 
 
-def save_index(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Nodes and edges as Parquet tables below ``path``, each row with the schema's number."""
-    for name, rows in (("nodes", nodes), ("edges", edges)):
-        rows.withColumn("schema", F.lit(INDEX_SCHEMA)).write.mode("overwrite").parquet(f"{path}/{name}")
+def save_tables(path: str, **tables: DataFrame) -> None:
+    """Tables as Parquet below ``path``: what an index is kept as where one JSON document would be too large."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """What ``save_index`` wrote; rows of another schema fail the read."""
-    wrong = F.assert_true(F.col("schema") == INDEX_SCHEMA, F.lit("unknown index schema"))
-    return tuple(spark.read.parquet(f"{path}/{name}").where(wrong.isNull()).drop("schema") for name in ("nodes", "edges"))
+def load_tables(spark: SparkSession, path: str, *names: str) -> tuple[DataFrame, ...]:
+    return tuple(spark.read.parquet(f"{path}/{name}") for name in names)
 
 
 def _scalar(text: str):
     if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'":
         return text[1:-1]
-    named = {"true": True, "True": True, "false": False, "False": False, "null": None, "~": None}
+    named = {"true": True, "True": True, "false": False, "False": False, "null": None, "~": None, "{}": {}, "[]": []}
     if text in named:
         return named[text]
     digits = text.removeprefix("-")
@@ -60,40 +57,74 @@ def _scalar(text: str):
 
 
 def front_matter_of(text: str | None) -> dict:
-    """Scalars, nested mappings and lists of scalars or flat mappings between the first line ``---`` and the next; else empty."""
+    """Scalars, nested mappings and lists of scalars or flat mappings between the first line ``---`` and the next; else empty.
+
+    A key without a value is null unless deeper lines follow; lines below make it a mapping or a list.
+    """
     if not text or not text.startswith("---\n") or (end := text.find("\n---", 4)) < 0:
         return {}
-    lines = [(len(x) - len(x.lstrip()), x.strip()) for x in text[4:end].splitlines() if x.strip() and not x.lstrip().startswith("#")]
     out: dict = {}
-    stack: list = [(-1, out, None, None)]  # indent, container, its parent and key there
-    for indent, line in lines:
-        while len(stack) > 1 and indent <= stack[-1][0] and not (line.startswith("- ") and isinstance(stack[-1][1], list) and indent == stack[-1][0]):
-            stack.pop()
-        at, box, parent, key = stack[-1]
-        if line.startswith("- "):
-            if isinstance(box, dict) and parent is not None and not box:
-                box = parent[key] = []
-                stack[-1] = (indent, box, parent, key)
-            if not isinstance(box, list):
-                continue
-            name, colon, value = line[2:].partition(":")
-            if colon and (not value or value[0] == " "):
-                box.append({name.strip(): _scalar(value.strip())})
-                stack.append((indent + 1, box[-1], None, None))
-            else:
-                box.append(_scalar(line[2:].strip()))
+    stack: list = [(-1, out)]  # indent and container; a tuple (mapping, key) stands for a value not known yet
+    for raw in text[4:end].splitlines():
+        line = raw.strip()
+        if not line or line[0] == "#":
             continue
-        name, colon, value = line.partition(":")
-        if not colon or not isinstance(box, dict):
+        indent = len(raw) - len(raw.lstrip())
+        while len(stack) > 1 and indent <= stack[-1][0]:
+            stack.pop()
+        at, box = stack[-1]
+        if isinstance(box, tuple):  # the first line below a key says what its value is
+            box[0][box[1]] = made = [] if line.startswith("- ") else {}
+            stack[-1] = (at, made)
+            box = made
+        item = line.startswith("- ")
+        if isinstance(box, list) != item:
             continue
-        if value.strip():
-            box[name.strip()] = _scalar(value.strip())
-        else:
-            box[name.strip()] = {}
-            stack.append((indent, box[name.strip()], box, name.strip()))
+        name, colon, value = (line[2:] if item else line).partition(":")
+        name, value = name.strip(), value.strip()
+        if item and not colon:
+            box.append(_scalar(line[2:].strip()))
+        elif item:
+            box.append({name: _scalar(value) if value else ""})
+            stack.append((indent, box[-1]))
+        elif colon and value:
+            box[name] = _scalar(value)
+        elif colon:
+            box[name] = None
+            stack.append((indent, (box, name)))
     return out
 
 
+def _plain(value) -> str:
+    """A scalar as it can be read back."""
+    if value is None or isinstance(value, bool | int):
+        return json.dumps(value)
+    text = str(value)
+    if not text:
+        return '""'
+    if any(c in text for c in ":#{}[],&*?|<>!%@"):
+        return '"' + text.replace('"', '\\"') + '"'
+    return text if text == text.strip() else f'"{text}"'
+
+
+def dump_front_matter(data: dict, indent: int = 0) -> str:
+    """The lines of nested mappings, and of lists of scalars or flat mappings."""
+    pad, lines = "  " * indent, []
+    for key, value in data.items():
+        if not isinstance(value, dict | list):
+            lines.append(f"{pad}{key}: {_plain(value)}")
+        elif not value:
+            lines.append(f"{pad}{key}: {'{}' if isinstance(value, dict) else '[]'}")
+        elif isinstance(value, dict):
+            lines += [f"{pad}{key}:", dump_front_matter(value, indent + 1)]
+        else:
+            lines.append(f"{pad}{key}:")
+            for item in value:
+                fields = [f"{k}: {_plain(v)}" for k, v in item.items()] or ["{}"] if isinstance(item, dict) else [_plain(item)]
+                lines += [f"{pad}  {'- ' if i == 0 else '  '}{f}" for i, f in enumerate(fields)]
+    return "\n".join(lines)
+
+
 @F.pandas_udf(StringType())
 def _front_json(text: pd.Series) -> pd.Series:
     return text.map(lambda t: json.dumps(front_matter_of(t), ensure_ascii=False))

@@ -15,7 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from leafgraph.functions import text as X
 
 # What a scan leaves out and reads.
-DEPENDENCY_FILE, SKIPPED = "deps.yml", "node_modules"
+DEPENDENCY_FILE, SKIPPED, OVERVIEW = "deps.yml", "node_modules", "leafgraph-index.md"
 SCANNED, LISTED = (".md", ".txt"), (".md", ".txt", ".pdf", ".docx")
 SUMMARY_CHARS = 500
 FILES_IN_PARTITION = 2000
@@ -42,8 +42,17 @@ class TreeReader(DataSourceReader):
             raise ValueError(f"not a directory: {self.root}")
 
     def partitions(self) -> list[InputPartition]:
-        names = sorted(os.path.relpath(os.path.join(folder, n), self.root).replace(os.sep, "/") for folder, _, files in os.walk(self.root) for n in files)
-        return [InputPartition(names[i : i + FILES_IN_PARTITION]) for i in range(0, len(names), FILES_IN_PARTITION)] or [InputPartition([])]
+        """Lists of names in the order of the walk.  The driver holds the names alone; sizes and contents are read by tasks."""
+        out, names = [], []
+        for folder, below, files in os.walk(self.root):
+            below.sort()
+            base = os.path.relpath(folder, self.root).replace(os.sep, "/")
+            for n in sorted(files):
+                names.append(n if base == "." else f"{base}/{n}")
+                if len(names) == FILES_IN_PARTITION:
+                    out.append(InputPartition(names))
+                    names = []
+        return [*out, InputPartition(names)]
 
     def read(self, partition):
         for name in partition.value:
@@ -67,8 +76,10 @@ def files(spark: SparkSession, root: str, read: bool = True) -> DataFrame:
 
 
 def _chosen(rows: DataFrame, extensions: tuple[str, ...]) -> DataFrame:
-    rows = rows.withColumn("place", F.array_position(F.array(*map(F.lit, extensions)), X.suffix(F.col("path"))))
-    return rows.where((F.col("place") > 0) & ~X.is_hidden(F.col("path")) & ~F.contains("path", F.lit(SKIPPED)) & (X.base_name(F.col("path")) != DEPENDENCY_FILE))
+    """A row for each extension that a path ends with, so one listed twice counts twice."""
+    ends = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(e).alias("end")) for i, e in enumerate(extensions, 1)))
+    rows = rows.where(~X.is_hidden(F.col("path")) & ~F.contains("path", F.lit(SKIPPED)) & (X.base_name(F.col("path")) != DEPENDENCY_FILE))
+    return rows.withColumn("e", F.explode(F.filter(ends, lambda x: F.endswith("path", x["end"])))).withColumn("place", F.col("e.place"))
 
 
 def document_paths(rows: DataFrame, extensions: tuple[str, ...] = LISTED) -> DataFrame:
@@ -95,8 +106,10 @@ def entry(rows: DataFrame) -> DataFrame:
 
 
 def ordered(rows: DataFrame) -> DataFrame:
-    """In the order of path components, not of strings."""
-    return rows.orderBy(F.split("path", "/"))
+    """What a listing has, the engine's own overview left out, in the order of path components, not of strings."""
+    path = F.col("path")
+    listed = rows.where(~X.is_hidden(path) & ~X.is_office_lock(path) & (X.base_name(path) != OVERVIEW))
+    return listed.orderBy(F.split(path, "/"))
 
 
 def declared(rows: DataFrame, text: str = "content") -> DataFrame:

@@ -64,11 +64,13 @@ def test_expand(spark):
 
 
 def test_reports(spark):
-    rows = spark.createDataFrame([("missing-reference", "error", "b.md", "gone"), ("orphan-file", "warning", "a.md", "alone")], "rule string, severity string, path string, message string")
-    assert reports.check_text(rows, 2, 1).first()[0] == "2 files, 1 edges — errors:1 warnings:1\n  [WARNING] orphan-file: a.md — alone\n  [ERROR] missing-reference: b.md — gone"
-    assert json.loads(reports.check_json(rows, "r", 2, 1).first()[0])["stats"] == {"files": 2, "edges": 1, "errors": 1, "warnings": 1}
+    rows = spark.createDataFrame([(1, "missing-reference", "error", "b.md", "gone", None), (5, "orphan-file", "warning", "a.md", "alone", 3)], "family int, rule string, severity string, path string, message string, line int")
+    assert reports.text_of(reports.check_lines(rows, 2, 1)).first()[0] == "2 files, 1 edges — errors:1 warnings:1\n  [ERROR] missing-reference: b.md — gone\n  [WARNING] orphan-file: a.md — alone"
+    doc = json.loads(reports.check_json(rows, "r", 2, 1).first()[0])
+    assert doc["stats"] == {"files": 2, "edges": 1, "errors": 1, "warnings": 1} and doc["findings"][0]["line"] is None
     run = json.loads(reports.sarif(rows).first()[0])["runs"][0]
-    assert [x["ruleId"] for x in run["results"]] == ["orphan-file", "missing-reference"] and run["tool"]["driver"]["rules"][0]["name"] == "missingReference"
+    assert [x["ruleId"] for x in run["results"]] == ["missing-reference", "orphan-file"] and run["tool"]["driver"]["rules"][0]["name"] == "missingReference"
+    assert run["results"][1]["locations"][0]["physicalLocation"]["region"] == {"startLine": 3}
     assert [reports.exit_code(rows.where("severity = 'warning'"), x) for x in ("never", "warning", "error")] == [0, 1, 0]
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import duckdb
 
-from leafgraph.plans.queries import EDGES, QUERIES
+from leafgraph.plans import QUERIES
+from leafgraph.plans.queries import EDGES
 
 DATA = "/root/testdata/sf0.001"
 
