@@ -27,13 +27,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return "/".join([shared_folder(spark), *_OPEN[-1:], f"{name}-{uuid.uuid4().hex}"])
+def fresh_path(spark: SparkSession, name: str, result: bool = False) -> str:
+    """A path that nothing is at yet, in the innermost ``scratch``, or for its result in the one around it."""
+    scopes = _OPEN[:-1] if result else _OPEN
+    return "/".join([shared_folder(spark), *scopes[-1:], f"{name}-{uuid.uuid4().hex}"])
 
 
-def kept(df: DataFrame, name: str = "kept") -> DataFrame:
+def kept(df: DataFrame, name: str = "kept", result: bool = False) -> DataFrame:
     """The rows written as Parquet to the shared folder and read back: lineage ends here and no executor holds the only copy."""
-    path = fresh_path(df.sparkSession, name)
+    path = fresh_path(df.sparkSession, name, result)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -46,8 +48,8 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Intermediate tables made inside are removed at the end; results must be written or collected before."""
-    _OPEN.append(f"scratch-{uuid.uuid4().hex}")
+    """Intermediate tables made inside are removed at the end; what shall stay is written with ``result`` or collected before."""
+    _OPEN.append("/".join([*_OPEN[-1:], f"scratch-{uuid.uuid4().hex}"]))
     try:
         yield
     finally:
