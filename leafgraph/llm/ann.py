@@ -2,8 +2,12 @@
 
 The centroids and the codebooks are fitted on a bounded sample; every row is
 then assigned to a cell and its residual coded, and this index is a table.
-A query probes its nearest cells, at least ``probes`` and as many more as it
-takes to hold enough rows.  A unit of work is a block of a cell's rows with a
+There are as many cells as the square root of the rows, ``CELLS`` at most.  How
+many of them a query probes is measured on the sample: enough that its rows find
+``TARGET`` of their true neighbours there, which are farther apart than those in
+the table.  So clustered tables are probed in few cells and formless ones in many.
+A query probes that many of its nearest cells, and as many more as it takes to
+hold enough rows.  A unit of work is a block of a cell's rows with a
 block of the cell's queries, so hot cells are split on both sides.  In a unit
 the distances of codes come from a query's asymmetric table; the best of each
 query are reranked by exact distance in double precision on the original
@@ -27,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafgraph.llm.store import stored
+from leafgraph.llm.store import scratch, stored
 from leafgraph.llm.vectors import matrix, sample_matrix, usable
 
-SAMPLE, CELLS, PROBES, RERANK, ROW_BLOCK, QUERY_BLOCK = 8192, 64, 44, 256, 4096, 256
+SAMPLE, CELLS, TARGET, RERANK, ROW_BLOCK, QUERY_BLOCK = 8192, 256, 0.97, 256, 4096, 256
+TRIED = 512
 
 
 def nearest_of(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -62,16 +67,28 @@ class Quantiser:
         residual = x - self.centers[cell]
         return cell, np.stack([nearest_of(residual[:, s], b) for s, b in zip(self.slices, self.books, strict=True)], axis=1).astype(np.uint8)
 
+    def nearest_cells(self, queries: np.ndarray) -> np.ndarray:
+        return np.argsort((self.centers**2).sum(1) - 2 * queries @ self.centers.T, axis=1, kind="stable")
+
     def distances(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of queries and coded rows of a cell, from a table for each query."""
-        residual, out = queries - self.centers[cell], np.zeros((len(queries), len(codes)), np.float32)
+        residual, out = queries - self.centers[cell], np.zeros((len(queries), len(codes)))
         for j, (s, book) in enumerate(zip(self.slices, self.books, strict=True)):
-            table = ((residual[:, None, s] - book[None]) ** 2).sum(2).astype(np.float32)
-            out += table[:, codes[:, j]]
+            out += ((residual[:, None, s] - book[None]) ** 2).sum(2)[:, codes[:, j]]
         return out
 
+    def probes_for(self, sample: np.ndarray, k: int, target: float) -> int:
+        """The least number of cells that hold the share ``target`` of the sample rows' true neighbours among the sample."""
+        tried, own = sample[:TRIED], nearest_of(sample, self.centers)
+        d = (sample**2).sum(1) - 2 * tried @ sample.T
+        d[np.arange(len(tried)), np.arange(len(tried))] = np.inf
+        near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+        place = np.argsort(self.nearest_cells(tried), axis=1)  # of each cell among a row's nearest
+        found = np.sort(np.take_along_axis(place, own[near], 1).ravel())
+        return int(found[min(len(found) - 1, int(np.ceil(target * len(found))))]) + 1 if len(found) else 1
+
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 10, ids: str = "vec_id", vector: str = "embedding", cells: int = CELLS, probes: int = PROBES, rerank: int = RERANK, sample: int = SAMPLE, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = 10, ids: str = "vec_id", vector: str = "embedding", cells: int | None = None, probes: int | None = None, rerank: int = RERANK, sample: int = SAMPLE, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, ``ids``, score: the nearest rows found for every row of ``queries``, but its own id."""
     spark = rows.sparkSession
     rows, queries = (usable(x, ids, vector).select(F.col(ids).cast("long").alias("id"), "v", "dims") for x in (rows, queries))
@@ -80,14 +97,16 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, ids: str = "vec_id"
     found = []
     for n in sorted(r["dims"] for r in shared):
         own, asked = (x.where(F.col("dims") == n).select("id", "v") for x in (rows, queries))
-        found.append(search_length(own, asked, k, ids, cells, probes, rerank, sample, row_block, query_block))
+        with scratch(spark):
+            found.append(stored(search_length(own, asked, k, ids, cells, probes, rerank, sample, row_block, query_block), "ann-found", result=True))
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], f"query_id long, rank int, {ids} long, score double")
 
 
-def search_length(rows: DataFrame, queries: DataFrame, k: int, ids: str, cells: int, probes: int, rerank: int, sample: int, row_block: int, query_block: int) -> DataFrame:
+def search_length(rows: DataFrame, queries: DataFrame, k: int, ids: str, cells: int | None, probes: int | None, rerank: int, sample: int, row_block: int, query_block: int) -> DataFrame:
     """``search`` for rows and queries (id, v) that all have vectors of one length; there is at least one row."""
     fitted = sample_matrix(rows, "id", sample)
-    model = Quantiser(fitted, cells)
+    model = Quantiser(fitted, cells or min(CELLS, max(1, round(rows.count() ** 0.5)), max(1, len(fitted) // 16)))
+    probes = probes or model.probes_for(fitted, k, TARGET)
 
     def code(batches):
         for b in batches:
@@ -102,7 +121,7 @@ def search_length(rows: DataFrame, queries: DataFrame, k: int, ids: str, cells:
     def probe(batches):
         for b in batches:
             q = matrix(b.column(1))
-            order = np.argsort((model.centers**2).sum(1) - 2 * q @ model.centers.T, axis=1, kind="stable")
+            order = model.nearest_cells(q)
             before = np.cumsum(held[order], axis=1) - held[order]
             use = (held[order] > 0) & ((np.arange(order.shape[1]) < probes) | (before <= max(k, rerank)))
             at, j = np.nonzero(use)
@@ -122,17 +141,21 @@ def search_length(rows: DataFrame, queries: DataFrame, k: int, ids: str, cells:
         is_row = np.array(table["codes"].is_valid())
         coded, asked_here = table.filter(pa.array(is_row)).sort_by("id"), table.filter(pa.array(~is_row))
         if not len(coded) or not len(asked_here):
-            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "d": pa.array([], pa.float32())})
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
         codes = np.frombuffer(b"".join(coded["codes"].to_pylist()), np.uint8).reshape(len(coded), -1)
-        d = model.distances(matrix(asked_here["v"]), table["cell"][0].as_py(), codes)
         row_ids, query_ids = coded["id"].to_numpy(), asked_here["id"].to_numpy()
-        d[query_ids[:, None] == row_ids[None]] = np.inf
-        best = np.argsort(d, axis=1, kind="stable")[:, :rerank]
-        d = np.take_along_axis(d, best, 1)
-        ok = np.isfinite(d)
-        return pa.table({"query_id": np.repeat(query_ids, best.shape[1])[ok.ravel()], "id": row_ids[best][ok], "d": d[ok].astype(np.float32)})
-
-    near = left.unionByName(right).groupBy("cell", "r", "q").applyInArrow(unit, "query_id long, id long, d float")
+        out = []
+        for low in range(0, len(query_ids), 64):  # distances of some queries at a time
+            part = query_ids[low : low + 64]
+            d = model.distances(matrix(asked_here["v"].slice(low, 64)), table["cell"][0].as_py(), codes)
+            other = part[:, None] != row_ids[None]
+            d = np.where(other & ~np.isnan(d), d, np.inf)  # too large for a double: the farthest
+            best = np.lexsort((np.broadcast_to(row_ids, d.shape), d, ~other), axis=1)[:, :rerank]
+            ok = np.take_along_axis(other, best, 1)
+            out.append((np.repeat(part, best.shape[1])[ok.ravel()], row_ids[best][ok], np.take_along_axis(d, best, 1)[ok]))
+        return pa.table(dict(zip(("query_id", "id", "d"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    near = left.unionByName(right).groupBy("cell", "r", "q").applyInArrow(unit, "query_id long, id long, d double")
     best = Window.partitionBy("query_id").orderBy("d", "id")
     near = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= rerank).select("query_id", "id").distinct()
     exact = near.join(rows, "id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("w")), "query_id")

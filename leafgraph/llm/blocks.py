@@ -16,9 +16,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 BLOCK_BYTES = 4 << 20
-LARGE_BLOCK = 12 << 20
 
 #: Bytes that separate words: space and 0x09-0x0D.
 IS_SPACE = np.zeros(256, bool)
@@ -28,6 +28,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 _DEPTH = 64
+_STRIP = 1 << 16
 _RANDOM = np.random.default_rng(20240607)
 _TABLE = _RANDOM.integers(0, 2**64, _DEPTH * 256, dtype=np.uint64)
 _ODD = _RANDOM.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
@@ -113,10 +114,13 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     """A 64-bit hash of each byte string: sums of random numbers by position and byte, or BLAKE2 where longer than 64."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    sizes = np.minimum(ends - starts, _DEPTH)
-    first = np.cumsum(sizes) - sizes
-    within = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat(first, sizes).astype(np.int32)
-    out = np.add.reduceat(_TABLE[(within << 8) | data[np.repeat(starts, sizes) + within]], first)
+    out = np.empty(len(starts), np.uint64)
+    for low in range(0, len(starts), _STRIP):  # a strip at a time: the arrays by byte are the largest of all
+        some = slice(low, low + _STRIP)
+        sizes = np.minimum(ends[some] - starts[some], _DEPTH)
+        first = np.cumsum(sizes) - sizes
+        within = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat(first, sizes).astype(np.int32)
+        out[some] = np.add.reduceat(_TABLE[(within << 8) | data[np.repeat(starts[some], sizes) + within]], first)
     for i in np.flatnonzero(ends - starts > _DEPTH):
         out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     return out
@@ -205,9 +209,16 @@ def arrow_batches(spark, rows: int = 2000, size: int = 8 << 20) -> None:
             spark.conf.set(key, str(most))
 
 
-def buckets_of(spark, times: int = 1) -> int:
-    """How many buckets an exchange has: as many as the session's shuffle partitions, which follow the input, or some times that."""
-    return max(1, times * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def bytes_read(df: DataFrame) -> int:
+    """Bytes of what the plan reads, 0 where a source doesn't know."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return total if total < 1 << 60 else 0
+
+
+def buckets_of(df: DataFrame, times: int = 1, size: int = 8 << 20) -> int:
+    """How many buckets an exchange of the rows has: one for ``size`` bytes read, or the session's shuffle partitions where these are more, some times that."""
+    return times * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-bytes_read(df) // size))
 
 
 def trim() -> None:

@@ -6,7 +6,8 @@ changed meanwhile is stale and skipped.  Decoding joins vocabulary strings.
 
 A block's words are found with whole-array operations and made distinct by
 Arrow's dictionary encoding, so that the queue runs once for a distinct word of
-a block, and mostly once a worker thanks to a bounded cache.
+a block, and mostly once a task thanks to a bounded cache.  The digest of the decoded
+text comes from decoding the ids.
 
 Edge cases: null and empty texts have no ids and decode to the empty string;
 repeated rows and ties give equal rows; further columns are ignored by
@@ -23,11 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from leafgraph.llm.blocks import LARGE_BLOCK, arrow_batches, distinct_words, runs, text_blocks, unusual_texts
+from leafgraph.llm.blocks import BLOCK_BYTES, arrow_batches, distinct_words, runs, text_blocks, trim, unusual_texts
 
 CACHE_WORDS = 500_000
 
@@ -49,6 +49,8 @@ class WordBpe:
     """The model of a tokenizer file with an end-of-word suffix."""
 
     def __init__(self, path: str):
+        import regex
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -66,7 +68,11 @@ class WordBpe:
         white = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
         self.pattern = regex.compile(pattern.replace("[^\\s", f"[^{white}"))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.cache: dict[bytes, tuple[bytes, bytes]] = {}
+        self.cache: dict[bytes, bytes] = {}
+        pieces = [self.strings.get(i, "").encode() for i in range(max(self.strings) + 1)]
+        self.sizes = np.array([len(p) + 1 for p in pieces], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.pool = np.frombuffer(b"".join(b" " + p for p in pieces), np.uint8)
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: the priority queue over the linked list."""
@@ -95,17 +101,23 @@ class WordBpe:
                 heapq.heappush(queue, (found[0], h, ids[h], new, found[1]))
         return [x for x in ids if x >= 0]
 
-    def word(self, word: bytes) -> tuple[bytes, bytes]:
-        """A word's ids as little-endian unsigned 32-bit integers, and its decoded text with a space before each token."""
+    def word(self, word: bytes) -> bytes:
+        """A word's ids as little-endian unsigned 32-bit integers."""
         if (got := self.cache.get(word)) is None:
-            ids = self.merge(word)
-            got = np.array(ids, "<u4").tobytes(), "".join(" " + self.strings[i] for i in ids).encode()
+            got = np.array(self.merge(word), "<u4").tobytes()
             if len(word) <= 64:
                 if len(self.cache) >= CACHE_WORDS:
                     self.cache.clear()
                 self.cache[word] = got
         return got
 
+    def decoded(self, ids: bytes) -> bytes:
+        """What ``decode`` makes of ids as bytes, in UTF-8: each id's vocabulary string copied to its place."""
+        i = np.frombuffer(ids, "<u4")
+        n = self.sizes[i]
+        ends = np.cumsum(n)
+        return self.pool[np.repeat(self.starts[i] - (ends - n), n) + np.arange(int(n.sum()))].tobytes()[1:]
+
     def decode(self, ids: list[int]) -> str:
         """The vocabulary strings joined; without a decoder the tokenizers library puts a space between them."""
         return " ".join(self.strings[i] for i in ids)
@@ -114,22 +126,18 @@ class WordBpe:
         """NFC, then lower case one character at a time: a final sigma is no exception."""
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def general(self, text: str) -> tuple[bytes, bytes]:
-        """The ids and the decoded text, with a space in front, of any text."""
-        ids, said = [], []
+    def general(self, text: str) -> bytes:
+        """The ids of any text."""
+        ids = []
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.special:
                 ids.append(np.array([self.special[part]], "<u4").tobytes())
-                said.append(b" " + part.encode())
-                continue
-            for word in self.pattern.findall(self.normal(part)):
-                a, b = self.word(word.encode())
-                ids.append(a)
-                said.append(b)
-        return b"".join(ids), b"".join(said)
-
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
-        """For each text its ids and its decoded text."""
+            else:
+                ids += [self.word(w.encode()) for w in self.pattern.findall(self.normal(part))]
+        return b"".join(ids)
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text."""
         raw = [self.normal(t).encode() if t else b"" for t in texts]
         data = np.frombuffer(b"".join(raw), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
@@ -145,15 +153,14 @@ class WordBpe:
         # without the separators the words stand side by side
         bounds = np.concatenate([[0], np.cumsum(sizes[usual])])
         distinct, codes = distinct_words(data[(kind != _SEPARATOR) & np.repeat(~odd, np.diff(offsets))], bounds)
-        known = [self.word(w) for w in distinct]
-        ids, said = [a for a, _ in known], [b for _, b in known]
+        ids = [self.word(w) for w in distinct]
         low = 0
         for i, text in enumerate(texts):
             if odd[i]:
                 yield self.general(text)
             else:
                 mine = codes[low : (low := low + int(at[i + 1] - at[i]))].tolist()
-                yield b"".join([ids[c] for c in mine]), b"".join([said[c] for c in mine])
+                yield b"".join([ids[c] for c in mine])
 
 
 _LOADED: dict[str, WordBpe] = {}
@@ -174,8 +181,8 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches):
         model = loaded(path)
-        for rows, _, _ in text_blocks(batches, text, LARGE_BLOCK):
-            ids = [np.frombuffer(a, "<u4").astype(np.int32) for a, _ in model.encode(rows.column(rows.schema.get_field_index(text)).to_pylist())]
+        for rows, _, _ in text_blocks(batches, text, BLOCK_BYTES):
+            ids = [np.frombuffer(a, "<u4").astype(np.int32) for a in model.encode(rows.column(rows.schema.get_field_index(text)).to_pylist())]
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*rows.schema.names, "ids"])
 
     return docs.mapInArrow(run, schema)
@@ -202,13 +209,15 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         model = loaded(path)
-        for rows, _, _ in text_blocks(batches, limit=LARGE_BLOCK):
+        for rows, _, _ in text_blocks(batches, limit=BLOCK_BYTES):
             n, a, b = [], [], []
-            for ids, said in model.encode(rows.column(1).to_pylist()):
+            for ids in model.encode(rows.column(1).to_pylist()):
                 n.append(len(ids) // 4)
                 a.append(hashlib.sha256(ids).hexdigest())
-                b.append(hashlib.sha256(said[1:]).hexdigest())
+                b.append(hashlib.sha256(model.decoded(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            trim()
+        model.cache.clear()  # workers live on; the next task meets other words
 
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -8,8 +8,10 @@
    for large sets it is enough to look at a fixed range of the hashes, which
    holds more than that many n-grams of each.  N-grams of one document alone
    lead to nothing, so a document with enough of those is done.
-3. What shares such an n-gram, at a size that fits, is one block.  Blocks are
-   split into tiles of bounded total size, and pairs of tiles are the units.
+3. What shares such an n-gram, at a size that fits, is one block.  Sizes lie in
+   bands so wide that only sets of one band or of neighbours can link.  Large
+   blocks are split into tiles of a band and of bounded total size, and pairs of
+   tiles of near bands are the units.
 4. In a unit the sets, ordered by hash, form a compressed trie.  The sets
    walk it together, sharing the overlap of common beginnings; a set leaves a subtree when the remaining lengths cannot reach the threshold any more, or
    when all of it is in the set's component already.
@@ -21,11 +23,15 @@ below the threshold.
 Edge cases: a text of fewer words than n is one n-gram; one without words, or
 null, has an empty set, links with nothing and is its own component; rows that
 repeat a doc_id are rows of the result; a null doc_id is never linked and its
-component is null; an empty table gives no rows; further columns are ignored.
+component is null; texts of any length are compared as a whole; equal texts are
+one class, named by its smallest id; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,7 +39,7 @@ from pyspark.sql import functions as F
 
 from leafgraph.llm.blocks import arrow_batches, bucket_bounds, buckets_of, mixed, packed, set_hashes, shingle_sets, text_and_offsets, text_blocks, trim, unpacked
 from leafgraph.llm.components import components
-from leafgraph.llm.store import stored
+from leafgraph.llm.store import scratch, stored
 
 #: Sets at least this large are looked at in a range of the hashes only.
 LARGE_SET = 256
@@ -71,22 +77,24 @@ def scatter(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> Da
             short = high & (m <= needed(n, num, den))
             low = known & (n > 0) & ((n * num < LARGE_SET * den) | short)
             hashed = set_hashes(sets, bounds)
-            out = [(1, i % buckets, None, ids[i].as_py(), int(n[i]), None, hashed[i], None, None, None) for i in range(len(n))]
             values = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield rows_of(1, np.arange(len(n)) % buckets, None, ids.cast(pa.int64()), n, None, hashed)
             for level, chosen, ok, sizes in ((0, low, low[own], n), (1, high, high[own] & inside, m)):
-                out += [(2, i % buckets, level, int(values[i]), int(n[i]), int(sizes[i]), hashed[i], None, None, None) for i in np.flatnonzero(chosen).tolist()]
+                if len(some := np.flatnonzero(chosen)):
+                    yield rows_of(2, some % buckets, level, values[some], n[some], sizes[some], [hashed[i] for i in some.tolist()])
                 keys, owner = mixed(sets[ok] + _LEVELS[level]), own[ok].astype(np.uint32)
                 order = np.argsort(keys, kind="stable")
                 keys, owner = keys[order], owner[order]
                 cut = bucket_bounds(keys, buckets)
-                for b in np.flatnonzero(np.diff(cut)).tolist():
-                    mine = owner[cut[b] : cut[b + 1]]
-                    there, index = np.unique(mine, return_inverse=True)
-                    out.append((0, b, level, None, None, None, None, packed(keys[cut[b] : cut[b + 1]]), index.astype(np.uint16 if len(there) < 65536 else np.uint32).tobytes(), values[there].tobytes()))
-            for i in range(0, len(out), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 2000], strict=True), _TYPES, strict=True)], names=_NAMES)
-            out.clear()
-            del sets, own, inside, keys, owner, order
+                some, blobs = np.flatnonzero(np.diff(cut)), []
+                for b in some.tolist():
+                    there, index = np.unique(owner[cut[b] : cut[b + 1]], return_inverse=True)
+                    blobs.append((packed(keys[cut[b] : cut[b + 1]]), index.astype(np.uint16 if len(there) < 65536 else np.uint32).tobytes(), values[there].tobytes()))
+                del keys, owner, order
+                for i in range(0, len(blobs), 200):
+                    part = blobs[i : i + 200]
+                    yield rows_of(0, some[i : i + 200], level, None, None, None, None, *map(list, zip(*part, strict=True)))
+            del sets, own, inside
             trim()
 
     return docs.mapInArrow(run, _ROWS)
@@ -96,6 +104,15 @@ _NAMES = [x.split()[0] for x in _ROWS.split(", ")]
 _TYPES = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in _ROWS.split(", ")]
 
 
+def rows_of(kind: int, bucket: np.ndarray, level: int | None, *columns) -> pa.RecordBatch:
+    """Rows of one kind; columns that are missing are null."""
+    n = len(bucket)
+    given = [pa.array(np.full(n, kind), pa.int32()), pa.array(bucket, pa.int32()), pa.nulls(n, pa.int32()) if level is None else pa.array(np.full(n, level), pa.int32())]
+    for c, t in zip([*columns, *[None] * (len(_TYPES) - 3 - len(columns))], _TYPES[3:], strict=True):
+        given.append(pa.nulls(n, t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t))
+    return pa.RecordBatch.from_arrays(given, names=_NAMES)
+
+
 def gather(table: pa.Table) -> pa.Table:
     """The documents' rows, and a row for each n-gram of a document that other documents have too, with its frequency."""
     kind = table["kind"].to_numpy()
@@ -224,10 +241,14 @@ def compare(width: int, num: int, den: int):
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, tile: int = TILE) -> DataFrame:
     """doc_id, n_shingles and component_id of every row, for links at 100 * intersection >= num / den * 100 * union."""
-    spark = docs.sparkSession
-    arrow_batches(spark)
-    buckets = buckets_of(spark)
+    with scratch(docs.sparkSession):
+        return stored(compared(docs, width, num, den, tile), "jaccard-components", result=True)
+
+
+def compared(docs: DataFrame, width: int, num: int, den: int, tile: int) -> DataFrame:
+    arrow_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    buckets = buckets_of(docs, 2)
     found = stored(scatter(docs, width, num, den, buckets).groupBy("bucket").applyInArrow(gather, _FOUND), "jaccard")
     all_docs = found.where("kind = 1").select("doc_id", "n", "set_hash")
     classes = all_docs.where("n > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"))
@@ -237,18 +258,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     looked = looked.withColumn("take", F.expr(f"n - ceil({num} * n / {den}) + 1 - (m - shared)")).where("take > 0").select("doc_id", "level", "n", "take").distinct()
     order = Window.partitionBy("doc_id", "level").orderBy("frequency", "token")
     tokens = shared.join(looked, ["doc_id", "level"]).withColumn("k", F.row_number().over(order)).where("k <= take").select("token", "level", "doc_id", "n")
-    # by size, each is tied to the one before if the sizes allow a link; if they don't, none across does
-    before = Window.partitionBy("token", "level").orderBy("n", "doc_id")
-    ties = tokens.select("doc_id", "n", F.lag("doc_id").over(before).alias("b"), F.lag("n").over(before).alias("m")).where(f"b is not null and {num} * n <= {den} * m")
-    blocks = stored(components(ties.select(F.col("doc_id").alias("a"), "b")).select(F.col("id").alias("doc_id"), F.col("component").alias("block")), "jaccard-blocks")
-    sizes = all_docs.select("doc_id", "n").dropDuplicates(["doc_id"])
-    tiles = blocks.join(sizes, "doc_id").groupBy("block").agg(F.greatest(F.ceil(F.sum("n") / tile), F.ceil(F.count("*") / TILE_SETS)).cast("int").alias("tiles"))
-    placed = blocks.join(tiles, "block").withColumn("t", F.pmod(F.xxhash64("doc_id"), "tiles").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    alone = placed.where("tiles = 1").select("doc_id", "block", F.pmod(F.xxhash64("block"), F.lit(4 * buckets)).alias("x"), F.lit(-1).alias("y"), F.lit(-1).alias("z"))
-    crossed = placed.where("tiles > 1").select("doc_id", "block", "t", other).where("other <> t").select("doc_id", "block", F.col("block").alias("x"), F.least("t", "other").alias("y"), F.greatest("t", "other").alias("z"))
-    units = alone.unionByName(crossed)
-    links = docs.join(units, "doc_id").groupBy("x", "y", "z").applyInArrow(compare(width, num, den), "a long, b long")
+    # sets that can link are in one band of sizes or in neighbours; a common n-gram is met by partial aggregation, not by one task
+    size = max(math.log(den / num), 1e-6) * (1 + 1e-9)
+    band = F.floor(F.log(F.col("n").cast("double")) / size).cast("int")
+    tokens = stored(tokens.withColumn("band", band), "jaccard-tokens")
+    of_band = tokens.groupBy("token", "level", "band").agg(F.min("doc_id").alias("least"), F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("c"))
+    above = of_band.select("token", "level", (F.col("band") - 1).alias("band"), F.col("least").alias("other"), F.col("low").alias("next"))
+    of_band = stored(of_band.join(above, ["token", "level", "band"], "left").withColumn("other", F.expr(f"if({num} * next <= {den} * high, other, null)")), "jaccard-bands")
+    ties = of_band.where("other is not null").select(F.col("least").alias("a"), F.col("other").alias("b"))
+    ties = ties.unionByName(tokens.join(of_band.where("c > 1").select("token", "level", "band", "least"), ["token", "level", "band"]).select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+    blocks = stored(components(ties).select(F.col("id").alias("doc_id"), F.col("component").alias("block")), "jaccard-blocks")
+    sizes = all_docs.where("doc_id is not null").groupBy("doc_id").agg(F.max("n").alias("n"))
+    placed = stored(blocks.join(sizes, "doc_id").withColumn("band", band), "jaccard-placed")
+    many = lambda: F.greatest(F.ceil(F.sum("n") / tile), F.ceil(F.count("*") / TILE_SETS)).cast("int").alias("tiles")
+    large = placed.groupBy("block").agg(many()).where("tiles > 1").select("block")
+    alone = placed.join(large, "block", "left_anti").select("doc_id", "block", F.concat(F.lit("s"), F.pmod(F.xxhash64("block"), F.lit(4 * buckets))).alias("unit"))
+    split = placed.join(large, "block", "left_semi")
+    bands = split.groupBy("block", "band").agg(many())
+    tiles = bands.select("block", "band", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t"))
+    other = tiles.select("block", F.col("band").alias("band2"), F.col("t").alias("t2"))
+    pairs = tiles.withColumn("band2", F.explode(F.array(F.col("band"), F.col("band") + 1))).join(other, ["block", "band2"]).where("band2 > band or t2 >= t")
+    pairs = pairs.withColumn("unit", F.concat_ws(":", "block", "band", "t", "band2", "t2"))
+    sides = pairs.select("block", "band", "t", "unit").unionByName(pairs.select("block", F.col("band2").alias("band"), F.col("t2").alias("t"), "unit")).distinct()
+    crossed = split.join(bands, ["block", "band"]).withColumn("t", F.pmod(F.xxhash64("doc_id"), "tiles").cast("int")).join(sides, ["block", "band", "t"]).select("doc_id", "block", "unit")
+    links = docs.join(alone.unionByName(crossed), "doc_id").groupBy("unit").applyInArrow(compare(width, num, den), "a long, b long")
     joined = components(links).withColumnRenamed("id", "class_id")
     named = classes.withColumnRenamed("doc_id", "class_id").join(joined, "class_id", "left")
     out = all_docs.join(named, "set_hash", "left")

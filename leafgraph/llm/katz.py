@@ -1,26 +1,28 @@
-"""Katz backoff: Good-Turing discounted bigrams over discounted unigrams, with exactly normalised backoff weights.
+"""Katz backoff: Good-Turing discounted n-grams of any order, with exactly normalised backoff weights.
 
 Documents are laid out as chunks: a few megabytes of whole documents as token
 numbers with the chunk's own dictionary of word hashes.  The chunks are a table
 bucketed by chunk, so what is looked up for them joins without moving them.
 Counts are looked up by exchanges: each chunk sends its distinct keys once to
-the keys' buckets, which sum and answer in the same order, so a frequent word or
-pair costs one entry a chunk.  Every answer is a table partitioned by chunk and
-bucket: the unigram counts, the bigram counts, and the backoff weights.
-
-Of a token w after h (a start mark before the first): if the pair is known,
-P = d(c) c(h, w) / c(h); else, if h is, alpha(h) P(w); else P(w).  P(w) is
-d(c) c(w) / N, and what the discounts take away is the probability of the
-unknown word.  alpha(h) = (1 - sum of P(w | h)) / (1 - sum of P(w)), both over the
-words seen after h.  Discounts are Katz's for counts up to 5.  Where the counts of
-counts don't give numbers between 0 and 1, d(c) = (c - D) / c with
-D = n1 / (n1 + 2 n2), or 0.5.  Larger counts lose 0.05, so that every history keeps
-some probability for unseen words.
+the keys' buckets, which sum and answer in the same order, so a frequent n-gram
+costs one entry a chunk.  Every answer is a table partitioned by chunk and
+bucket: for each order the counts, and from the second on the backoff weights.
+
+The history of a token is the n - 1 tokens before it, start marks before the
+first.  Of a token w after h, by recursion: if the n-gram is known,
+P = d(c) c(h, w) / c(h); else, if h is known, alpha(h) P(w | h'), where h' is h
+without its first token; else P(w | h').  At the end P(w) is d(c) c(w) / N, and
+what the discounts take away is the probability of the unknown word.
+alpha(h) = (1 - sum of P(w | h)) / (1 - sum of P(w | h')), both over the words seen
+after h.  Discounts are Katz's for counts up to 5; larger counts lose nothing.
+Where the counts of counts don't give numbers between 0 and 1, d(c) = (c - D) / c
+with D = n1 / (n1 + 2 n2), or 0.5.  A history all of whose n-grams are undiscounted
+would leave no mass for other words; its count is taken as ``REST`` more.
 
 Edge cases: null and empty texts are the end token alone; rows that repeat a
-doc_id are scored each; a null doc_id is a training row; without training rows
-every probability is that of the unknown word, 1; an empty table gives no rows;
-further columns are ignored.
+doc_id are scored each; a null doc_id is a training row; very long texts are a
+chunk of their own; without training rows every probability is that of the
+unknown word, 1; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,11 +35,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgraph.llm.blocks import arrow_batches, bucket_bounds, buckets_of, from_planes, mixed, packed, planes, text_blocks, trim, unpacked, word_hashes
-from leafgraph.llm.store import stored
+from leafgraph.llm.store import scratch, stored
 
-KATZ, ABOVE = 5, 0.05
+KATZ, REST, ORDER = 5, 0.5, 2
 
-_END, _START = mixed(np.array([1, 2], np.uint64))
+_END = mixed(np.array([1], np.uint64))[0]
+#: The history of nothing but start marks, by its length.
+_START = mixed(np.arange(2, 18, dtype=np.uint64))
 _ODD = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _CHUNK = "chunk long, docs array<long>, held binary, sizes binary, codes binary, keys binary, counts binary"
 
@@ -66,16 +70,29 @@ def lay_out(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, _CHUNK)
 
 
-class Pairs:
-    """The chunk's bigrams: distinct keys, the number of each token's, first and second words, and training counts."""
+class Grams:
+    """The chunk's distinct n-grams of every order up to a number, lists by order, the first empty.
 
-    def __init__(self, codes: np.ndarray, sizes: np.ndarray, held: np.ndarray, keys: np.ndarray):
-        self.history = np.empty_like(codes)
-        self.history[1:] = codes[:-1]
-        self.history[np.cumsum(sizes) - sizes] = len(keys)  # the start mark is one more word
-        self.keys, first, self.of = np.unique(mixed(np.append(keys, _START)[self.history] * _ODD[0] + keys[codes] * _ODD[1]), return_index=True, return_inverse=True)
-        self.first, self.second = self.history[first], codes[first]
-        self.counts = np.bincount(self.of, np.repeat(1 - held, sizes), len(self.keys)).astype(np.uint64)
+    keys, ascending; of, the number of the n-gram that ends at each token; first, of each n-gram's history among those of the
+    order below, one more than the last for start marks alone; second, of what is left without its first token; counts, in training.
+    """
+
+    def __init__(self, codes: np.ndarray, sizes: np.ndarray, held: np.ndarray, keys: np.ndarray, order: int):
+        none = np.zeros(0, np.int64)
+        train = np.repeat(1 - held, sizes)
+        begins = np.cumsum(sizes) - sizes
+        self.keys, self.of, self.first, self.second = [keys[:0], keys], [none, codes], [none, none], [none, none]
+        self.counts = [none, np.bincount(codes, train, len(keys)).astype(np.uint64)]
+        for k in range(2, order + 1):
+            history = np.empty_like(codes)
+            history[1:] = self.of[-1][:-1]
+            history[begins] = len(self.keys[-1])
+            made, at, of = np.unique(mixed(np.append(self.keys[-1], _START[k - 2])[history] * _ODD[0] + keys[codes] * _ODD[1]), return_index=True, return_inverse=True)
+            self.first.append(history[at])
+            self.second.append(self.of[-1][at])
+            self.keys.append(made)
+            self.of.append(of)
+            self.counts.append(np.bincount(of, train, len(made)).astype(np.uint64))
 
 
 def opened(row: dict) -> tuple[np.ndarray, ...]:
@@ -157,7 +174,7 @@ def discounts(facts: np.ndarray) -> np.ndarray:
 
 def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
     """d(c) c; 0 for 0."""
-    return np.where(counts > KATZ, counts - ABOVE, counts * d[np.minimum(counts, KATZ).astype(np.int64)])
+    return np.where(counts > KATZ, counts, counts * d[np.minimum(counts, KATZ).astype(np.int64)])
 
 
 class Unigrams:
@@ -165,104 +182,150 @@ class Unigrams:
         self.total, self.known, self.d = facts[-1], facts[-2], discounts(facts)
         r = np.arange(1, KATZ + 1)
         low = facts[:KATZ]
-        mass = (low * r * self.d[1:]).sum() + (self.total - (low * r).sum()) - ABOVE * (self.known - low.sum())
+        mass = (low * r * self.d[1:]).sum() + (self.total - (low * r).sum())
+        self.whole = max(self.total, 1)
         self.unknown = 1 - mass / self.total if self.total else 1.0
+        if self.total and self.unknown < 1e-12:
+            self.whole = self.total + REST
+            self.unknown = REST / self.whole
 
     def probability(self, counts: np.ndarray) -> np.ndarray:
-        return np.where(counts > 0, discounted(counts, self.d) / max(self.total, 1), self.unknown)
+        return np.where(counts > 0, discounted(counts, self.d) / self.whole, self.unknown)
+
+
+def needs_weight(grams: Grams, k: int, n: np.ndarray) -> np.ndarray:
+    """Which histories of order k's n-grams (the last: start marks) are asked for their sums: an n-gram is unknown, or none here is discounted."""
+    size = len(grams.keys[k - 1]) + 1
+    unknown = np.bincount(grams.first[k][n == 0], minlength=size) > 0
+    low = np.bincount(grams.first[k][(n > 0) & (n <= KATZ)], minlength=size) > 0
+    high = np.bincount(grams.first[k][n > KATZ], minlength=size) > 0
+    return unknown | high & ~low
+
+
+def history_order(grams: Grams, k: int, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and numbers of chosen histories, ascending by key."""
+    every = np.append(grams.keys[k - 1], _START[k - 2])
+    order = np.argsort(every, kind="stable")
+    order = order[chosen[order]]
+    return every[order], order
+
+
+def chances(grams: Grams, order: int, model: Unigrams, d: list, counts: list, weights: list, starts: int) -> list[np.ndarray]:
+    """The probability of each distinct n-gram's last token, for every order up to one; the recursion from below.
+
+    counts: by order, of each n-gram; weights: from the second order on, sums of the histories that ``needs_weight`` names.
+    """
+    out = [np.zeros(0), model.probability(counts[1])]
+    for k in range(2, order + 1):
+        n, first, below = counts[k], grams.first[k], out[-1][grams.second[k]]
+        before = np.append(counts[k - 1], starts)
+        alpha, whole = np.ones(len(before)), np.maximum(before, 1.0)
+        _, at = history_order(grams, k, needs_weight(grams, k, n))
+        if len(at):
+            seen, back = weights[k]
+            known = before[at] > 0
+            at, seen, back = at[known], seen[known], back[known]
+            left = before[at] - seen
+            full = left <= 1e-9 * before[at]
+            whole[at[full]] += REST
+            alpha[at] = np.where(full, REST, left) / whole[at] / (1 - back)
+        out.append(np.where(n > 0, discounted(n, d[k]) / whole[first], np.where(before[first] > 0, alpha[first], 1.0) * below))
+    return out
 
 
-def score(docs: DataFrame, held_out: Column) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; learns from those not held out."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    buckets = buckets_of(spark)
-    parts = buckets_of(spark, 4)  # of an exchange, so that a group of it is small
+    docs = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held"))
+    buckets, parts = buckets_of(docs), buckets_of(docs, 4)  # of an exchange four times as many, so that a group of it is small
     name = f"leafgraph_chunks_{uuid.uuid4().hex}"
-    lay_out(docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held"))).write.format("parquet").bucketBy(buckets, "chunk").saveAsTable(name)
-    chunks = spark.table(name)
+    try:
+        lay_out(docs).write.format("parquet").bucketBy(buckets, "chunk").saveAsTable(name)
+        with scratch(spark):
+            return stored(scored(spark.table(name), docs.where("not held").count(), parts, order), "katz-scores", result=True)
+    finally:
+        spark.sql(f"drop table if exists {name}")
+
 
-    def with_answers(columns: list[str], *answers: DataFrame) -> DataFrame:
+def scored(chunks: DataFrame, starts: int, parts: int, order: int) -> DataFrame:
+    """The scores of laid out chunks, ``starts`` documents of which are learned from."""
+    counts_of = lambda replies, shift: np.concatenate([from_planes(x, np.uint64) for x in answer(replies)] or [np.zeros(0, np.uint64)]) >> np.uint64(shift)
+    laid = ["codes", "sizes", "held", "keys"]
+    tables: dict[str, DataFrame] = {}
+
+    def with_answers(columns: list[str], names: list[str]) -> DataFrame:
         out = chunks.select("chunk", *columns)
-        for i, a in enumerate(answers):
-            out = out.join(a.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "reply")).alias(f"a{i}")), "chunk", "left")
+        for a in names:
+            out = out.join(tables[a].groupBy("chunk").agg(F.collect_list(F.struct("bucket", "reply")).alias(a)), "chunk", "left")
         return out
 
-    asked = requests(chunks, ["chunk", "keys", "counts"], lambda row: (unpacked(row["keys"]), from_planes(row["counts"], np.uint64)), parts, "bucket int, chunk long, keys binary, counts binary")
-    unigrams = stored(asked.groupBy("bucket").applyInArrow(summed(False), _REPLY), "katz-unigrams")
-    model = Unigrams(facts_of(unigrams))
-    counts_of = lambda replies: np.concatenate([from_planes(x, np.uint64) for x in answer(replies)] or [np.zeros(0, np.uint64)])
-
-    def pair_request(row):
-        pairs = Pairs(*opened(row))
-        return pairs.keys, pairs.counts
-
-    asked = requests(chunks, ["chunk", "codes", "sizes", "held", "keys"], pair_request, parts, "bucket int, chunk long, keys binary, counts binary")
-    bigrams = stored(asked.groupBy("bucket").applyInArrow(summed(True), _REPLY), "katz-bigrams")
-    d = discounts(facts_of(bigrams))
-    end_count = int(docs.select(F.coalesce(held_out, F.lit(False)).alias("h")).where("not h").count())  # documents learned from: starts, and ends
-
-    def backoff_request(row):
-        """For each word of the chunk as a history: sums over the pairs that the chunk stands for, and whether its weight is asked for."""
-        codes, sizes, held, keys = opened(row)
-        pairs = Pairs(codes, sizes, held, keys)
-        c, reply = counts_of(row["a0"]), counts_of(row["a1"])
-        n, own = reply >> np.uint64(1), (reply & np.uint64(1)).astype(bool)
-        p = model.probability(c)
-        size = len(keys) + 1
-        seen = np.bincount(pairs.first[own], discounted(n[own].astype(np.float64), d), size)
-        back = np.bincount(pairs.first[own], p[pairs.second[own]], size)
-        want = np.zeros(size, np.uint8)
-        want[pairs.first[n == 0]] = 1
-        every = np.append(keys, _START)
-        order = np.argsort(every, kind="stable")
-        order = order[(seen[order] > 0) | (want[order] > 0)]
-        return every[order], seen[order], back[order], want[order]
-
-    def weigh(table: pa.Table) -> pa.Table:
-        keys = [unpacked(k) for k in table["keys"].to_pylist()]
-        sizes = [len(k) for k in keys]
-        every = np.concatenate(keys)
-        seen, back = (np.concatenate([from_planes(x, np.float64) for x in table[c].to_pylist()]) for c in ("seen", "back"))
-        want = np.concatenate([from_planes(x, np.uint8) for x in table["want"].to_pylist()])
-        _, of = np.unique(every, return_inverse=True)
-        left, right = np.bincount(of, seen)[of], np.bincount(of, back)[of]
-        ends = np.cumsum(sizes)
-        reply = [np.stack([left[e - n : e], right[e - n : e]])[:, want[e - n : e] > 0].tobytes() for n, e in zip(sizes, ends, strict=True)]
-        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "reply": pa.array(reply, pa.binary()), "facts": pa.nulls(len(sizes), pa.list_(pa.int64()))})
+    def known(row: dict, grams: Grams, upto: int) -> tuple[list, list]:
+        """Counts of all orders up to one, and weights of those below it, as floats."""
+        counts = [np.zeros(0)] + [counts_of(row[f"c{k}"], k > 1).astype(np.float64) for k in range(1, upto + 1)]
+        weights = [None, None] + [np.concatenate([np.frombuffer(x, np.float64).reshape(2, -1) for x in answer(row[f"w{k}"])] or [np.zeros((2, 0))], axis=1) if row.get(f"w{k}") else np.zeros((2, 0)) for k in range(2, upto + 1)]
+        return counts, weights
 
-    joined = with_answers(["codes", "sizes", "held", "keys"], unigrams, bigrams)
-    asked = requests(joined, joined.columns, backoff_request, parts, "bucket int, chunk long, keys binary, seen binary, back binary, want binary")
-    backoff = stored(asked.groupBy("bucket").applyInArrow(weigh, _REPLY), "katz-backoff")
+    asked = requests(chunks, ["chunk", "keys", "counts"], lambda row: (unpacked(row["keys"]), from_planes(row["counts"], np.uint64)), parts, "bucket int, chunk long, keys binary, counts binary")
+    tables["c1"] = stored(asked.groupBy("bucket").applyInArrow(summed(False), _REPLY), "katz-1")
+    model, d = Unigrams(facts_of(tables["c1"])), [None, None]
+    have = ["c1"]
+    for k in range(2, order + 1):
+
+        def gram_request(row, k=k):
+            grams = Grams(*opened(row), k)
+            return grams.keys[k], grams.counts[k]
+
+        asked = requests(chunks, ["chunk", *laid], gram_request, parts, "bucket int, chunk long, keys binary, counts binary")
+        tables[f"c{k}"] = stored(asked.groupBy("bucket").applyInArrow(summed(True), _REPLY), f"katz-{k}")
+        d.append(discounts(facts_of(tables[f"c{k}"])))
+        have.append(f"c{k}")
+
+        def weight_request(row, k=k, d=tuple(d)):
+            """For each history of order k: sums over the n-grams that the chunk stands for, and whether its sums are asked for."""
+            grams = Grams(*opened(row), k)
+            counts, weights = known(row, grams, k)
+            own = (counts_of(row[f"c{k}"], 0) & np.uint64(1)).astype(bool)
+            below = chances(grams, k - 1, model, d, counts, weights, starts)[-1]
+            size = len(grams.keys[k - 1]) + 1
+            seen = np.bincount(grams.first[k][own], discounted(counts[k][own], d[k]), size)
+            back = np.bincount(grams.first[k][own], below[grams.second[k][own]], size)
+            want = needs_weight(grams, k, counts[k])
+            keys, at = history_order(grams, k, (seen > 0) | want)
+            return keys, seen[at], back[at], want[at].astype(np.uint8)
+
+        joined = with_answers(laid, have)
+        asked = requests(joined, joined.columns, weight_request, parts, "bucket int, chunk long, keys binary, seen binary, back binary, want binary")
+        tables[f"w{k}"] = stored(asked.groupBy("bucket").applyInArrow(weigh, _REPLY), f"katz-weights-{k}")
+        have.append(f"w{k}")
 
     def evaluate(batches):
         for b in batches:
             for row in b.to_pylist():
                 codes, sizes, held, keys = opened(row)
-                pairs = Pairs(codes, sizes, held, keys)
-                c, n = counts_of(row["a0"]).astype(np.float64), (counts_of(row["a1"]) >> np.uint64(1)).astype(np.float64)
-                p, before = model.probability(c), np.append(c, end_count)
-                want = np.zeros(len(keys) + 1, bool)
-                want[pairs.first[n == 0]] = True
-                every = np.append(keys, _START)
-                order = np.argsort(every, kind="stable")
-                order = order[want[order]]
-                sums = [np.frombuffer(x, np.float64).reshape(2, -1) for x in answer(row["a2"])]
-                alpha = np.ones(len(keys) + 1)
-                if sums:
-                    seen, back = np.concatenate(sums, axis=1)
-                    known = before[order] > 0
-                    alpha[order[known]] = (1 - seen[known] / before[order[known]]) / (1 - back[known])
-                each = np.log10(np.where(n > 0, discounted(n, d) / np.maximum(before[pairs.first], 1), alpha[pairs.first] * p[pairs.second]))[pairs.of]
-                first = np.cumsum(sizes) - sizes
+                grams = Grams(codes, sizes, held, keys, order)
+                counts, weights = known(row, grams, order)
+                each = np.log10(chances(grams, order, model, d, counts, weights, starts)[-1])[grams.of[order]]
+                first, c = np.cumsum(sizes) - sizes, counts[1]
                 base = np.log10((c + 0.5) / (model.total + 0.5 * (model.known + 1)))[codes]
                 yield pa.RecordBatch.from_arrays([pa.array(row["docs"], pa.int64()), pa.array(held > 0), pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((c > 0)[codes].astype(np.int64), first), pa.int64()), pa.array(np.full(len(sizes), int(model.total)), pa.int64()), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(each, first))], names=_NAMES)
             trim()
 
-    out = with_answers(["docs", "codes", "sizes", "held", "keys"], unigrams, bigrams, backoff).mapInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    out = stored(out, "katz-scores")
-    spark.sql(f"drop table {name}")
-    return out
+    return with_answers(["docs", *laid], have).mapInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def weigh(table: pa.Table) -> pa.Table:
+    """Sums by history; each chunk's reply has those that it asked for."""
+    keys = [unpacked(k) for k in table["keys"].to_pylist()]
+    sizes = [len(k) for k in keys]
+    every = np.concatenate(keys)
+    seen, back = (np.concatenate([from_planes(x, np.float64) for x in table[c].to_pylist()]) for c in ("seen", "back"))
+    want = np.concatenate([from_planes(x, np.uint8) for x in table["want"].to_pylist()])
+    _, of = np.unique(every, return_inverse=True)
+    left, right = np.bincount(of, seen)[of], np.bincount(of, back)[of]
+    ends = np.cumsum(sizes)
+    reply = [np.stack([left[e - n : e], right[e - n : e]])[:, want[e - n : e] > 0].tobytes() for n, e in zip(sizes, ends, strict=True)]
+    return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "reply": pa.array(reply, pa.binary()), "facts": pa.nulls(len(sizes), pa.list_(pa.int64()))})
 
 
 _NAMES = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]

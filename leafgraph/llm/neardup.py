@@ -9,7 +9,8 @@ bins are split into tiles of bounded size by a hash, and only tiles of near bins
 are compared.  Within two tiles the products of the leading dimensions come
 first; the rest of a product is at most the product of the suffix norms, and a
 pair stops as soon as the sum cannot reach the threshold.  What is left is
-decided by the cosine of the original vectors in double precision.
+decided by the cosine of the original vectors in double precision.  Only original
+vectors, in their own type, are shuffled; axes are applied where two tiles meet.
 
 A comparison returns each row's number of links and its root in a spanning
 forest of the links, never the pairs.
@@ -30,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgraph.llm.components import components
-from leafgraph.llm.store import stored
-from leafgraph.llm.vectors import by_length, lists, matrix, sample_lists, usable
+from leafgraph.llm.store import scratch, stored
+from leafgraph.llm.vectors import by_length, matrix, sample_lists, scaled, usable
 
 SAMPLE, TILE = 8192, 2048
 STEPS = (8, 16, 32)
@@ -74,30 +75,39 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.93, ids: str = "vec_id", vector: str = "embedding", label: str = "label", sample: int = SAMPLE, tile: int = TILE) -> DataFrame:
+def near_duplicates(rows: DataFrame, *args, **named) -> DataFrame:
+    """``ids``, n_links, component_id, kept for every row; see ``compared``."""
+    with scratch(rows.sparkSession):
+        return stored(compared(rows, *args, **named), "near-duplicates", result=True)
+
+
+def compared(rows: DataFrame, threshold: float = 0.93, ids: str = "vec_id", vector: str = "embedding", label: str = "label", sample: int = SAMPLE, tile: int = TILE) -> DataFrame:
     """``ids``, n_links, component_id, kept for every row."""
-    keyed = usable(rows.select(ids, vector, label).where(F.col(label).isNotNull()), ids, vector).select(F.col(ids).alias("id"), F.struct(F.col(label).alias("label"), "dims").alias("label"), "v")
+    keyed = usable(rows.select(ids, vector, label).where(F.col(label).isNotNull()), ids, vector).select(F.col(ids).alias("id"), F.struct(F.col(label).alias("label"), "dims").alias("label"), F.col(vector).alias("v"))
     keyed = keyed.withColumns({"k": F.xxhash64(F.lit(7), "v"), "l": F.xxhash64(F.lit(13), "v")})
     classes = stored(keyed.groupBy("label", "k", "l").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v")), "near-classes")
     axes = {}
     for _, taken in by_length(sample_lists(classes, "id", sample)):
         if len(taken) >= taken.shape[1]:
-            unit = taken / np.linalg.norm(taken, axis=1, keepdims=True)
+            unit = scaled(taken)
+            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
             axes[taken.shape[1]] = np.linalg.eigh(unit.T @ unit)[1][:, ::-1]
     width = max(math.acos(threshold) / 2, 1e-6)
 
-    def turn(batches):
-        for b in batches:
-            for at, v in by_length(b.column(3)):
-                part = b.take(pa.array(at))
-                norm = np.linalg.norm(v / np.abs(v).max(1, keepdims=True), axis=1) * np.abs(v).max(1)
-                u = v / norm[:, None]
-                u = u @ axes[v.shape[1]] if v.shape[1] in axes else u
-                angle = np.arccos(np.clip(u[:, 0], -1, 1))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists(u, pa.float64()), pa.array(angle // width, pa.int32())], names=["label", "id", "n", "v", "u", "bin"])
-
-    kind = classes.schema["label"].dataType.simpleString()
-    turned = stored(classes.select("label", "id", "n", "v").mapInArrow(turn, f"label {kind}, id long, n long, v array<double>, u array<double>, bin int"), "near-turned")
+    def units(v: np.ndarray) -> np.ndarray:
+        """The vectors' directions along the axes of their length."""
+        u = scaled(v)
+        u = u / np.linalg.norm(u, axis=1, keepdims=True)
+        return u @ axes[v.shape[1]] if v.shape[1] in axes else u
+
+    @F.arrow_udf("int")
+    def bin_of(vectors: pa.Array) -> pa.Array:
+        out = np.zeros(len(vectors), np.int32)
+        for at, v in by_length(vectors):
+            out[at] = np.arccos(np.clip(units(v)[:, 0], -1, 1)) // width
+        return pa.array(out)
+
+    turned = stored(classes.select("label", "id", "n", "v", bin_of(F.col("v")).alias("bin")), "near-turned")
     per_bin = turned.groupBy("label", "bin").agg(F.count("*").alias("c"))
     per_label = per_bin.groupBy("label").agg(F.sum("c").alias("total"))
     # a label that fits one tile needs no bins
@@ -108,11 +118,12 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, ids: str = "vec_id
     name = F.concat_ws(":", "b", "t", "b2", "t2").alias("unit")
     sides = pairs.select("label", "b", "t", name, F.lit(0).alias("side")).unionByName(pairs.where("b2 <> b or t2 <> t").select("label", F.col("b2").alias("b"), F.col("t2").alias("t"), name, F.lit(1).alias("side")))
     placed = turned.join(per_label, "label").withColumn("b", F.expr(f"if(total <= {tile}, -1, bin)")).join(bins, ["label", "b"])
-    placed = placed.withColumn("t", F.pmod(F.xxhash64("id"), "tiles").cast("int")).select("label", "b", "t", "id", "n", "v", "u")
+    placed = placed.withColumn("t", F.pmod(F.xxhash64("id"), "tiles").cast("int")).select("label", "b", "t", "id", "n", "v")
 
     def compare(table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
-        own, n, v, u = table["id"].to_numpy(), table["n"].to_numpy(), matrix(table["v"]), matrix(table["u"])
+        own, n, v = table["id"].to_numpy(), table["n"].to_numpy(), scaled(matrix(table["v"]))
+        u = units(v)
         norms = np.sqrt((v * v).sum(1))
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if (side == 1).any() else left

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafgraph.llm.blocks import LARGE_BLOCK, arrow_batches, distinct_words, runs, text_blocks, trim, unusual_texts
+from leafgraph.llm.blocks import BLOCK_BYTES, arrow_batches, distinct_words, runs, text_blocks, trim, unusual_texts
 from leafgraph.llm.store import stored
 
 STEPS = 250
@@ -228,7 +228,7 @@ def pack(docs: DataFrame, ranks_path: str, json_path: str, capacity: int = 1024,
         from pyspark import TaskContext
 
         model, seen, part = loaded(ranks_path, json_path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
-        for rows, _, _ in text_blocks(batches, limit=LARGE_BLOCK):
+        for rows, _, _ in text_blocks(batches, limit=BLOCK_BYTES):
             out: list[tuple] = []
             for doc, ids in zip(rows.column(0).to_pylist(), model.encode(rows.column(1).to_pylist()), strict=True):
                 raw, total, at, piece = ids.astype("<u4").tobytes() + int(end).to_bytes(4, "little"), len(ids) + 1, 0, 0
@@ -241,6 +241,7 @@ def pack(docs: DataFrame, ranks_path: str, json_path: str, capacity: int = 1024,
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=names)
             out.clear()
             trim()
+        model.cache.clear()  # workers live on; the next task meets other words
 
     pieces = stored(docs.mapInArrow(cut, "part int, n long, doc_id long, piece int, start long, length long, ids_crc32 long"), "packing-pieces")
     parts = pieces.groupBy("length", "part").agg(F.count("*").alias("c"))

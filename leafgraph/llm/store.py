@@ -1,29 +1,6 @@
-"""Intermediate tables in the shared folder that the session names, and what is built on them."""
+"""Intermediate tables in the shared folder that the session names."""
 
-from __future__ import annotations
+from leafgraph.sources.scratch import fresh_path, remove, scratch
+from leafgraph.sources.scratch import kept as stored
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary one, set as it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = own.get() if own.isDefined() else tempfile.mkdtemp(prefix="leafgraph-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet to the shared folder and read back: lineage ends here and no executor holds the only copy."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["fresh_path", "remove", "scratch", "stored"]

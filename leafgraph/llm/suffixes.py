@@ -6,9 +6,10 @@ hash, and equal windows have equal minimizers.  Around a minimizer lies its
 context, all windows that it is the minimizer of.
 
 1. Each document sends its minimizers and a hash of their contexts to the
-   minimizers' buckets.  Where a document of a smaller id has the same context,
-   all windows of it repeat.  Of contexts that share a minimizer but differ, one
-   document each, the smallest, must be compared further.
+   minimizers' buckets.  Where a document of a smaller id has the same context
+   (minimizer and context together are told apart by 128 bits of hashes), all windows of it repeat.
+   Of contexts that share a minimizer but differ, one
+   document each, the smallest, stands for its class and must be compared further.
 2. The contexts to compare come together by minimizer.  Shards of them are
    sorted and transformed; the transforms are merged by interleave refinement:
    the interleave starts unrefined, each round sorts it stably by the symbol
@@ -17,12 +18,13 @@ context, all windows that it is the minimizer of.
    least ``length``, that is, the repeated strings.  No suffixes are sorted again.
 3. What is covered in each document is the union of its repeated windows.
 
-Only documents with something repeated are joined with their text; a filter of
-fixed size (a Bloom filter of 2^23 bits) keeps others away from the join.
+Only documents with something repeated are joined with their text.  A Bloom
+filter of 16 bits for each of them, 2^17 words at least and 2^22 at most, keeps others
+away from the join.
 
 Edge cases: null and empty texts, and texts shorter than ``length``, repeat
 nothing; documents with equal ids don't repeat each other; a null doc_id repeats
-nothing and is returned unchanged; an empty table gives no rows; further columns
+nothing and is returned unchanged; a text too long for a block is one of its own; an empty table gives no rows; further columns
 are kept by ``remove_repeats`` (one named like an output is replaced).
 """
 
@@ -44,7 +46,7 @@ LENGTH, CORE = 50, 20
 SHARD = 2048
 #: Bytes of text looked at together; a block needs about a hundred times that in arrays.
 BLOCK = 2 << 20
-BLOOM_WORDS = 1 << 17
+BLOOM_WORDS, MOST_WORDS = 1 << 17, 1 << 22
 #: A place in a block has so many bits beside a hash; longer texts take another way to the same places.
 PLACE_BITS = 24
 
@@ -281,13 +283,13 @@ def compare(length: int, core: int):
     return run
 
 
-def bloom(ids: DataFrame, words: int = BLOOM_WORDS) -> np.ndarray:
-    """A filter of ``words`` 64-bit words for the ids: at most that many numbers come to the driver."""
+def bloom(ids: DataFrame) -> np.ndarray:
+    """A filter for the ids of 16 bits each; at most ``MOST_WORDS`` numbers come to the driver."""
+    words = min(MOST_WORDS, max(BLOOM_WORDS, 1 << (ids.count() // 4).bit_length()))
     bits = [F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(64 * words)) for k in (1, 2, 3)]
-    rows = ids.select(F.explode(F.array(*bits)).alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("v")).collect()
+    rows = ids.select(F.explode(F.array(*bits)).alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("v")).toArrow()
     out = np.zeros(words, np.int64)
-    for w, v in rows:
-        out[w] = v
+    out[rows["w"].to_numpy()] = rows["v"].to_numpy()
     return out
 
 
@@ -295,24 +297,25 @@ def maybe(words: np.ndarray):
     """A condition on doc_id that holds for all ids of the filter, and few others."""
     size = len(words)
 
-    @F.pandas_udf("boolean")
-    def test(a, b, c):
+    @F.arrow_udf("boolean")
+    def test(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
         out = np.ones(len(a), bool)
         for x in (a, b, c):
-            x = x.to_numpy()
+            x = x.to_numpy(zero_copy_only=False)
             out &= (words[x // 64] >> (x % 64)) & 1 == 1
-        import pandas as pd
-
-        return pd.Series(out)
+        return pa.array(out)
 
     return test(*(F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(64 * size)) for k in (1, 2, 3)))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with ``kept`` (the remaining bytes), n_bytes, n_removed and n_spans."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, text: str = "text", characters: bool = False) -> DataFrame:
+    """The rows of ``docs`` with ``kept`` (the remaining bytes), n_bytes, n_removed and n_spans.
+
+    With ``characters`` a character that lost a byte is left out of ``kept`` as a whole, and nothing else is.
+    """
     spark = docs.sparkSession
     arrow_batches(spark)
-    buckets = buckets_of(spark, 2)
+    buckets = buckets_of(docs, 2)
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     states = stored(scatter(rows, length, core, buckets).groupBy("bucket").applyInArrow(judge, _STATES), "suffix-states")
@@ -379,6 +382,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, text
             first = runs(gone, offsets)[0]
             spans = np.diff(np.searchsorted(first, offsets))
             sizes = np.diff(offsets)
+            if characters and len(data):
+                begins = np.flatnonzero(data & 0xC0 != 0x80)
+                begins = np.unique(np.append(begins, offsets[:-1][offsets[:-1] < len(data)]))
+                gone = np.repeat(np.logical_or.reduceat(gone, begins), np.diff(np.append(begins, len(data))))
             kept = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             trim()
             yield pa.RecordBatch.from_arrays([*(part.column(where[c]) for c in names), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans))], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])

@@ -1,8 +1,7 @@
 """Toxicity: a lexicon trie met by Levenshtein automata, with context windows, under a small logistic model.
 
-Fitting takes a bounded sample of labelled rows of the training folds.  Words
-much more frequent in toxic than in other texts make the lexicon, each with its
-log odds.  The lexicon is a trie.  A token is met with it by a
+Fitting takes a bounded sample of labelled rows of the training folds.  All words
+in ``LEAST`` toxic texts or more with log odds of ``ODDS`` or more make the lexicon.  The lexicon is a trie.  A token is met with it by a
 Levenshtein automaton: the state holds the places reached with no edit and with
 one, a step is one edge of the trie, and a branch ends as soon as the state is
 empty.  So terms of five letters or more are found one edit away as well; exact
@@ -16,12 +15,15 @@ over its hits, so its whole text counts.
 Edge cases: a null or empty text has no hits and gets the score of the
 intercept; labels that are null take no part; without labelled rows of both
 classes every score is the share of toxic ones (0 where there are none); doc_id
-null is never a training row; further columns are ignored.
+null is never a training row and gets a score as any other; equal texts get equal
+scores, also as repeated rows; further columns are kept, one named like the output
+is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgraph.llm.blocks import LOWER, arrow_batches, distinct_words, runs, text_blocks, trim
+from leafgraph.llm.store import stored
 
 SAMPLE = 24_000
-LEXICON = 4_000
+LEAST, ODDS = 4, 2.5
 WINDOW = 8
+#: Bytes of text looked at together.
+BLOCK = 2 << 20
 REPORTING = frozenset("said says quote quoted quotes reported reports wrote writes called cited dijo sagte dit".split())
 
 _IN_WORD = np.zeros(256, bool)
@@ -162,15 +167,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").alias("id"), "text", "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int = LEXICON) -> tuple[dict[str, float], np.ndarray]:
-    """The lexicon and the weights of the features."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], np.ndarray]:
+    """The lexicon and the weights of the features.  What comes to the driver follows the sample's bound, not the table."""
     rows = training_rows(docs, labels, sample)
     arrow_batches(docs.sparkSession)
 
     def count(batches):
         seen = Counter(), Counter()
         total = [0, 0]
-        for part, data, offsets in text_blocks(batches):
+        for part, data, offsets in text_blocks(batches, limit=BLOCK):
             toxic = part.column(2).to_numpy(zero_copy_only=False) > 0
             _, _, owner, distinct, codes = tokens(data, offsets)
             pairs = np.unique(owner.astype(np.int64) * max(1, len(distinct)) + codes)
@@ -186,20 +191,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int =
         for i in range(0, len(terms), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(terms[i : i + 20_000]), pa.array(a[i : i + 20_000]), pa.array(b[i : i + 20_000])], names=["term", "clean", "toxic"])
 
-    counts = rows.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    top = counts.where("term = '' or toxic >= 4").orderBy(F.col("term") != "", F.desc(F.expr("toxic - 3 * clean")), "term").limit(20 * lexicon)
-    got = top.collect()  # at most 20 * lexicon rows
-    totals = next(((r["clean"], r["toxic"]) for r in got if r["term"] == ""), (0, 0))
+    counts = stored(rows.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxicity-counts")
+    first = counts.where("term = ''").first()
+    totals = (first["clean"], first["toxic"]) if first else (0, 0)
     if not totals[0] or not totals[1]:
         share = totals[1] / max(1, sum(totals))
         return {}, np.r_[np.zeros(7), np.log(max(share, 1e-9) / max(1 - share, 1e-9))]
-    weigh = lambda r: np.log((r["toxic"] + 0.5) / (totals[1] + 1)) - np.log((r["clean"] + 0.5) / (totals[0] + 1))
-    strong = sorted(((float(weigh(r)), r["term"]) for r in got if len(r["term"]) > 2), key=lambda x: (-x[0], x[1]))
-    chosen = {t: w for w, t in strong[:lexicon] if w >= 2.5}
+    weight = F.log((F.col("toxic") + 0.5) / (totals[1] + 1)) - F.log((F.col("clean") + 0.5) / (totals[0] + 1))
+    strong = counts.where((F.col("toxic") >= LEAST) & (F.length("term") > 2)).select("term", weight.alias("w")).where(F.col("w") >= ODDS)
+    chosen = {r["term"]: r["w"] for r in strong.orderBy(F.desc("w"), "term").collect()}  # words of the sample
 
     def describe(batches):
         trie = Trie(chosen)
-        for part, data, offsets in text_blocks(batches):
+        for part, data, offsets in text_blocks(batches, limit=BLOCK):
             x = features(trie, data, offsets)
             yield pa.RecordBatch.from_arrays([part.column(2).cast(pa.int32()), *map(pa.array, x.T)], names=["y", *"abcdefg"])
             trim()
@@ -209,28 +213,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int =
 
 
 def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], text: str = "text", out: str = "toxicity") -> DataFrame:
-    """The rows of ``docs`` with a score from 0 to 1, higher for what is likelier toxic."""
-    from pyspark.sql import types as T
-
-    docs = docs.drop(out)
+    """The rows of ``docs`` with a score from 0 to 1, higher for what is likelier toxic.  Only the texts go to Python, and only scores come back."""
     arrow_batches(docs.sparkSession)
     lexicon, weights = model
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 
-    def run(batches):
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         trie = Trie(lexicon)
-        for part, data, offsets in text_blocks(batches, text):
-            z = np.c_[features(trie, data, offsets), np.ones(len(offsets) - 1)] @ weights
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*part.schema.names, out])
+        for column in texts:
+            parts = [np.zeros(0)]
+            for _, data, offsets in text_blocks([pa.RecordBatch.from_arrays([column], names=["text"])], limit=BLOCK):
+                z = np.c_[features(trie, data, offsets), np.ones(len(offsets) - 1)] @ weights
+                parts.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            yield pa.array(np.concatenate(parts))
             trim()
 
-    return docs.mapInArrow(run, schema)
+    return docs.withColumn(out, scored(F.col(text)))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return score(docs.select("doc_id", "text"), model, out="score").select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
