@@ -17,6 +17,9 @@ CIRCULAR, DEEP, UNREADABLE, NOTHING = "Circular reference: ", "Maximum depth {}
 
 WALKED = "type in ('include', 'delegate')"
 
+#: Edges of a graph, and pairs of a closure, that the driver walks by itself: a round of distributed joins costs more than such a walk.
+SMALL = 100_000
+
 
 def all_edges(docs: DataFrame) -> DataFrame:
     """(src, dst, type, parallel, ord) of every directive and prose reference; an edge is its first four fields.
@@ -55,15 +58,49 @@ def missing_targets(docs: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("path")).distinct().join(docs.select("path"), "path", "left_anti")
 
 
-def closure(edges: DataFrame, starts: DataFrame, limit: int = 10_000, bound: int | None = None) -> DataFrame:
+def held(pairs: DataFrame, small: int) -> dict[str, list[str]] | None:
+    """The edges by source, where they are few enough for the driver."""
+    if pairs.count() > small:
+        return None
+    out: dict[str, list[str]] = {}
+    for src, dst in pairs.collect():
+        out.setdefault(src, []).append(dst)
+    return out
+
+
+def walked_levels(after: dict[str, list[str]], starts: list[str], bound: int, most: int) -> list[tuple[str, str, int]] | None:
+    """``closure`` of a small graph, unless it has more than ``most`` rows."""
+    out = []
+    for start in starts:
+        seen, front, level = set(), [start], 0
+        while front and level < bound:
+            level, step = level + 1, []
+            for x in front:
+                for y in after.get(x, ()):
+                    if y not in seen:
+                        seen.add(y)
+                        step.append(y)
+                        out.append((start, y, level))
+            front = step
+            if len(out) > most:
+                return None
+    return out
+
+
+def closure(edges: DataFrame, starts: DataFrame, limit: int = 10_000, bound: int | None = None, small: int = SMALL) -> DataFrame:
     """(start, id, level) of everything reachable over the edges' (src, dst) in at least one step.
 
     A start is in its own closure if a cycle leads back to it.  A round joins, and writes, the frontier alone; what has been
-    visited is the frontiers written so far.  ``bound`` is a depth limit.
+    visited is the frontiers written so far.  ``bound`` is a depth limit.  A closure of at most ``small`` edges, starts and rows is
+    made on the driver; the result is the same.
     """
     pairs = kept(edges.select("src", "dst").distinct(), "pairs")
     first = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("level")).distinct()
     frontier, rounds = kept(first, "frontier"), []
+    if (after := held(pairs, small)) is not None and frontier.count() <= small:
+        rows = walked_levels(after, [r["id"] for r in frontier.select("id").collect()], bound or limit, small)
+        if rows is not None:
+            return edges.sparkSession.createDataFrame(rows, "start string, id string, level int")
     for level in range(1, (bound or limit) + 1):
         step = frontier.join(pairs, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct()
         if rounds:
@@ -83,9 +120,9 @@ def together(parts: list[DataFrame]) -> DataFrame:
     return parts[0].sparkSession.read.schema(parts[0].schema).parquet(*files) if files else parts[0]
 
 
-def dependents(edges: DataFrame, ids: DataFrame, limit: int = 10_000) -> DataFrame:
+def dependents(edges: DataFrame, ids: DataFrame, limit: int = 10_000, small: int = SMALL) -> DataFrame:
     """Everything that leads to the ids, directly or not."""
-    return closure(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ids, limit)
+    return closure(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ids, limit, small=small)
 
 
 def circular(walk: DataFrame, entries: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -210,14 +247,48 @@ def trimmed(edges: DataFrame, limit: int) -> DataFrame:
     raise RuntimeError("trimming does not end")
 
 
-def cyclic_nodes(edges: DataFrame, limit: int = 10_000) -> DataFrame:
+def strong(after: dict[str, list[str]]) -> set[str]:
+    """``cyclic_nodes`` of a small graph: what a search from each root, in the order in which nodes were left, finds against the edges."""
+    left, seen, before = [], set(), {}
+    for root in list(after):
+        stack = [(root, iter(after.get(root, ())))] if root not in seen else []
+        seen.add(root)
+        while stack:
+            x, rest = stack[-1]
+            y = next(rest, None)
+            if y is None:
+                left.append(stack.pop()[0])
+            else:
+                before.setdefault(y, []).append(x)
+                if y not in seen:
+                    seen.add(y)
+                    stack.append((y, iter(after.get(y, ()))))
+    done, out = set(), {x for x, ys in after.items() if x in ys}
+    for root in reversed(left):
+        if root in done:
+            continue
+        part, front = {root}, [root]
+        while front:
+            fresh = {y for y in before.get(front.pop(), ()) if y not in done} - part
+            part |= fresh
+            front += fresh
+        done |= part
+        if len(part) > 1:
+            out |= part
+    return out
+
+
+def cyclic_nodes(edges: DataFrame, limit: int = 10_000, small: int = SMALL) -> DataFrame:
     """Ids that lead back to themselves: the members of strongly connected components.
 
     Edges that cannot lie on a cycle are trimmed.  In what is left the largest id that leads to a node is its colour; from each
     node that has its own colour a search backwards within the colour finds its component.  Components are taken out and
-    the rest is trimmed again.  Tables stay as large as the edges; rounds follow the longest way.
+    the rest is trimmed again.  Tables stay as large as the edges; rounds follow the longest way.  A graph of at most
+    ``small`` edges is searched on the driver; the result is the same.
     """
     edges = kept(edges.select("src", "dst").distinct(), "edges")
+    if (after := held(edges, small)) is not None:
+        return edges.sparkSession.createDataFrame([(x,) for x in sorted(strong(after))], "id string")
     found = [kept(edges.where("src = dst").select(F.col("src").alias("id")), "loops")]
     edges = trimmed(edges.where("src <> dst"), limit)
     while not edges.isEmpty():
@@ -231,7 +302,7 @@ def cyclic_nodes(edges: DataFrame, limit: int = 10_000) -> DataFrame:
                 break
         within = edges.join(colors.select(F.col("id").alias("src"), F.col("color").alias("a")), "src").join(colors.select(F.col("id").alias("dst"), F.col("color").alias("b")), "dst").where("a = b").select("src", "dst")
         roots = colors.where("id = color").select("id")
-        part = kept(dependents(within, roots, limit).select("id").distinct(), "component")
+        part = kept(dependents(within, roots, limit, small).select("id").distinct(), "component")
         found.append(part)
         gone = kept(part.unionByName(roots).distinct(), "gone")
         edges = edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti")

@@ -21,8 +21,8 @@ EDGES = """
 n AS (SELECT (SELECT count(*) FROM part) AS np, (SELECT count(*) FROM supplier) AS ns),
 edges AS (
   SELECT 'orders/' || l_orderkey || '.md' AS src, 'parts/' || l_partkey || '.md' AS dst,
-    CASE l_returnflag WHEN 'A' THEN 'include' WHEN 'N' THEN 'ref' ELSE 'delegate' END AS type, l_linestatus = 'F' AS parallel, min(l_linenumber) AS ord
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3, 4
+    CASE l_returnflag WHEN 'A' THEN 'include' WHEN 'N' THEN 'ref' ELSE 'delegate' END AS type, l_linestatus = 'F' AS parallel, min(o) AS ord
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CASE l_returnflag WHEN 'A' THEN 'i' WHEN 'N' THEN 'r' ELSE 'd' END, l_partkey || '.md' || CASE WHEN l_linestatus = 'F' THEN ' ' ELSE '' END) AS o FROM lineitem) JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3, 4
   UNION ALL SELECT 'parts/' || p_partkey || '.md', 'suppliers/' || (p_partkey % ns + 1) || '.md', 'include', FALSE, 0 FROM part, n WHERE p_partkey % 17 <> 0
   UNION ALL SELECT 'parts/' || p_partkey || '.md', 'parts/' || ((7 * p_partkey + 3) % np + 1) || '.md', 'delegate', FALSE, 1 FROM part, n WHERE p_partkey % 17 <> 0
   UNION ALL SELECT 'suppliers/' || s_suppkey || '.md', 'nations/' || s_nationkey || '.md', 'read-ref', FALSE, 0 FROM supplier

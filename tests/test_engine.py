@@ -45,16 +45,29 @@ def brute_reach(pairs, start):
     return seen
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_closures_and_cycles_equal_brute_force(spark, seed):
-    rng = random.Random(seed)
+@pytest.mark.parametrize("small", [0, graph.SMALL])
+def test_closures_and_cycles_equal_brute_force(spark, small):
+    rng = random.Random(1)
     pairs = {(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(16)} | {(f"c{i}", f"c{i + 1}") for i in range(6)}
     edges = spark.createDataFrame(sorted(pairs), "src string, dst string")
     ids = sorted({x for p in pairs for x in p})
-    got = {(r["start"], r["id"]) for r in graph.closure(edges, spark.createDataFrame([(i,) for i in ids], "id string")).collect()}
+    got = {(r["start"], r["id"]) for r in graph.closure(edges, spark.createDataFrame([(i,) for i in ids], "id string"), small=small).collect()}
     assert got == {(a, b) for a in ids for b in brute_reach(pairs, a)}
-    assert {r["id"] for r in graph.cyclic_nodes(edges).collect()} == {a for a in ids if a in brute_reach(pairs, a)}
-    assert graph.cyclic_nodes(edges.limit(0)).count() == 0
+    assert {r["id"] for r in graph.cyclic_nodes(edges, small=small).collect()} == {a for a in ids if a in brute_reach(pairs, a)}
+    assert graph.cyclic_nodes(edges.limit(0), small=small).count() == 0
+    bounded = graph.closure(edges, spark.createDataFrame([("c0",)], "id string"), bound=3, small=small)
+    assert {(r["id"], r["level"]) for r in bounded.collect()} == {("c1", 1), ("c2", 2), ("c3", 3)}
+
+
+def test_components_of_random_graphs():
+    rng = random.Random(7)
+    for _ in range(300):
+        n = rng.randrange(2, 9)
+        pairs = {(str(rng.randrange(n)), str(rng.randrange(n))) for _ in range(rng.randrange(1, 14))}
+        after = {}
+        for a, b in sorted(pairs):
+            after.setdefault(a, []).append(b)
+        assert graph.strong(after) == {a for a in map(str, range(n)) if a in brute_reach(pairs, a)}
 
 
 def test_build_warns_of_depth_circles_and_unreadable_files(spark):
