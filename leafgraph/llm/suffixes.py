@@ -416,3 +416,20 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_suffix_dedup": op6_suffix_dedup}
+#: Windows are put together by doubling: 2, 4 and so on to 32 bytes, then 32 + 16 + 2.
+ORACLE = {"op6_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS l FROM documents),
+b AS (SELECT rid, doc_id, len(l) AS n, generate_subscripts(l, 1) AS i, unnest(l) AS byte FROM d),
+b1 AS (SELECT *, byte || lead(byte, 1, '') OVER (PARTITION BY rid ORDER BY i) AS s2 FROM b),
+b2 AS (SELECT *, s2 || lead(s2, 2, '') OVER (PARTITION BY rid ORDER BY i) AS s4 FROM b1),
+b3 AS (SELECT *, s4 || lead(s4, 4, '') OVER (PARTITION BY rid ORDER BY i) AS s8 FROM b2),
+b4 AS (SELECT *, s8 || lead(s8, 8, '') OVER (PARTITION BY rid ORDER BY i) AS s16 FROM b3),
+b5 AS (SELECT *, s16 || lead(s16, 16, '') OVER (PARTITION BY rid ORDER BY i) AS s32 FROM b4),
+w AS (SELECT rid, doc_id, i, n, byte, s32 || lead(s16, 32, '') OVER (PARTITION BY rid ORDER BY i) || lead(s2, 48, '') OVER (PARTITION BY rid ORDER BY i) AS s FROM b5),
+f AS (SELECT s, min(doc_id) AS least FROM w WHERE i + 49 <= n GROUP BY s HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT w.*, i + 49 <= n AND coalesce(doc_id > least, FALSE) AS again FROM w LEFT JOIN f USING (s)),
+c AS (SELECT rid, i, byte, max(CAST(again AS INTEGER)) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM r),
+g AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY rid ORDER BY i) AS before FROM c),
+k AS (SELECT rid, sum(gone) AS n_removed, count_if(gone = 1 AND before = 0) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (gone = 0) AS kept FROM g GROUP BY rid)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (rid)
+"""}
