@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from leafgraph.llm.store import scratch, stored
 from leafgraph.llm.vectors import matrix, sample_matrix, usable
 
-SAMPLE, CELLS, TARGET, RERANK, ROW_BLOCK, QUERY_BLOCK = 8192, 256, 0.97, 256, 4096, 256
+SAMPLE, CELLS, TARGET, RERANK, ROW_BLOCK, QUERY_BLOCK = 8192, 64, 0.97, 256, 4096, 256
 TRIED = 512
 
 
