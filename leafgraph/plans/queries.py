@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,7 +163,9 @@ clashes AS (SELECT x.task AS a, y.task AS b, x.level AS level, string_agg(DISTIN
 """
 
 
+@lru_cache(maxsize=4)
 def _plan(spark, d):
+    """A session keeps the plan's tables for the queries over them."""
     edges = C.plan_edges(spark, d)
     ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
     files = I.compact(G.bare(ids, F.lit(False)), edges)

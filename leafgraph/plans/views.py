@@ -223,15 +223,20 @@ def declared_dependencies(spark, d):
 _DECLARED_GRAPH = f"""WITH {EDGES}, {_DECLARED}, ids AS (SELECT src AS id FROM declared UNION SELECT dst FROM declared)"""
 
 
+@lru_cache(maxsize=4)
+def graph_of_declarations(spark, d):
+    return tuple(G.kept(x, "declared") for x in G.build(C.documents(spark, d), spark.createDataFrame([], "id string"), declared=declarations(spark, d)))
+
+
 @query("declared_graph", f"{_DECLARED_GRAPH} SELECT id, CASE WHEN id LIKE 'shared/%' THEN 'shared' ELSE 'document' END AS type, id NOT IN (SELECT path FROM files) AS missing FROM ids")
 def declared_graph(spark, d):
     """Without an entry the dependency file alone forms the graph."""
-    return G.build(C.documents(spark, d), spark.createDataFrame([], "id string"), declared=declarations(spark, d))[0].select("id", "type", "missing")
+    return graph_of_declarations(spark, d)[0].select("id", "type", "missing")
 
 
 @query("declared_warnings", f"{_DECLARED_GRAPH} SELECT 'missing' AS type, dst AS path, 'deps.yml target does not exist: ' || dst AS message FROM (SELECT DISTINCT dst FROM declared WHERE dst NOT IN (SELECT path FROM files) AND dst NOT IN (SELECT src FROM declared))")
 def declared_warnings(spark, d):
-    return G.build(C.documents(spark, d), spark.createDataFrame([], "id string"), declared=declarations(spark, d))[2]
+    return graph_of_declarations(spark, d)[2]
 
 
 # risk
@@ -498,6 +503,7 @@ def proposal(spark, d):
     return B.parse_answers(answer)
 
 
+@lru_cache(maxsize=4)
 def settled(spark, d):
     edges, shared = proposal(spark, d)
     n = C.table(spark, d, "nation")

@@ -245,7 +245,8 @@ def test_command_line(spark, skill, capsys, tmp_path):
     assert run("deps", skill, "SKILL.md")[1].splitlines()[1] == "delegate\tagents/worker.md --parallel"
     assert "- [agent] agents/worker.md — Worker" in run("digest", skill)[1]
     assert run("tree", skill, "--max-depth", "1")[1].splitlines()[2] == "├── [delegate‖] agents/worker.md — Worker"
-    assert "Level 0 (parallel)" not in run("plan", skill, "--ascii")[1] and json.loads(run("plan", skill)[1])["stats"]["tasks"] == 2
+    code, out, _ = run("plan", skill, "--ascii", "--json")
+    assert "Level 0 (parallel)" not in out and json.loads(out[out.index("{") :])["stats"]["tasks"] == 2
     code, out, _ = run("resolve", os.path.join(skill, "SKILL.md"), "--var", "name=N")
     assert code == 0 and "Use N." in out and "@delegate agents/worker.md --parallel" in out
     assert run("ledger", "add", skill, "agents/worker.md", "--tag", "fix-failed", "--note", "n")[0] == 0 and run("ledger", "clear", skill, "agents/worker.md")[0] == 2
