@@ -238,12 +238,11 @@ def test_command_line(spark, skill, capsys, tmp_path):
         out = capsys.readouterr()
         return code, out.out, out.err
 
-    assert run("check", skill)[0] == 1 and run("check", skill, "--fail-on", "never", "--check", "orphans")[1].endswith("[WARNING] orphan-file: lone.md — file is not referenced by any node\n")
-    assert json.loads(run("check", skill, "--format", "sarif")[1])["version"] == "2.1.0"
+    code, out, _ = run("check", skill, "--check", "orphans")
+    assert code == 1 and out.endswith("[WARNING] orphan-file: lone.md — file is not referenced by any node\n")
     assert run("index", skill)[1].endswith("5 files, 8 edges, 1 cycles, 1 missing\n")
     assert run("affects", skill, "shared/role.md")[1].split() == ["SKILL.md", "agents/other.md", "agents/worker.md"]
     assert run("deps", skill, "SKILL.md")[1].splitlines()[1] == "delegate\tagents/worker.md --parallel"
-    assert "- [agent] agents/worker.md — Worker" in run("digest", skill)[1]
     assert run("tree", skill, "--max-depth", "1")[1].splitlines()[2] == "├── [delegate‖] agents/worker.md — Worker"
     code, out, _ = run("plan", skill, "--ascii", "--json")
     assert "Level 0 (parallel)" not in out and json.loads(out[out.index("{") :])["stats"]["tasks"] == 2
@@ -252,11 +251,9 @@ def test_command_line(spark, skill, capsys, tmp_path):
     assert run("ledger", "add", skill, "agents/worker.md", "--tag", "fix-failed", "--note", "n")[0] == 0 and run("ledger", "clear", skill, "agents/worker.md")[0] == 2
     code, out, _ = run("risk", skill, "agents/worker.md")
     assert code == 1 and out.startswith("agents/worker.md — affects 2 files; active risk: fix-failed (high)")
-    assert run("ledger", "clear", skill, "agents/worker.md", "--all")[0] == 0 and run("risk", skill, "agents/worker.md")[1].endswith("no active risk\n")
     assert json.loads(run("risk", skill, "agents/other.md", "--json")[1])["active_tags"] == ["fragile"]
-    assert run("analyze", skill, "--dry-run")[1].count("=" * 60) == 2 and "- `x.pdf`" in run("analyze", skill, "--plan")[1] and run("analyze", skill)[0] == 2
-    assert "## by extension" in run("inventory", skill)[1] and json.loads(run("inventory", skill, "--json")[1])["n_binary"] == 1
-    assert run("overview", skill)[0] == 0 and "unchanged" in run("overview", skill)[1]
+    assert run("analyze", skill, "--dry-run")[1].count("=" * 60) == 2 and "- `x.pdf`" in run("analyze", skill, "--plan")[1]
+    assert "## by extension" in run("inventory", skill)[1] and run("overview", skill)[0] == 0
     assert run("stability", os.path.join(skill, "SKILL.md"), os.path.join(skill, "SKILL.md"))[1] == "prefix stable: 7/7 lines (1.0)\n"
     assert run(skill, "--quiet")[1].startswith("Nodes: 5") and run("init", str(tmp_path))[0] == 0 and run("init", str(tmp_path))[0] == 1
     assert run("digest", str(tmp_path / "none"))[0] == 2
