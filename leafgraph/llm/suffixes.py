@@ -10,12 +10,17 @@ context, all windows that it is the minimizer of.
    (minimizer and context together are told apart by 128 bits of hashes), all windows of it repeat.
    Of contexts that share a minimizer but differ, one
    document each, the smallest, stands for its class and must be compared further.
-2. The contexts to compare come together by minimizer.  Shards of them are
-   sorted and transformed; the transforms are merged by interleave refinement:
-   the interleave starts unrefined, each round sorts it stably by the symbol
-   before and so fixes one more symbol of the order, and after ``length`` rounds
-   the groups that were never parted are the intervals of a common prefix of at
-   least ``length``, that is, the repeated strings.  No suffixes are sorted again.
+   A bucket answers with a blob for each group of documents, and a group's blobs
+   become one row for each of its documents.
+2. The contexts to compare come together by minimizer.  In each the minimizer, which
+   is known, is two letters instead of its bytes, and two letters are one symbol: a
+   context is a string of symbols from its first letter and one from its second.
+   Shards of them are sorted and transformed; the transforms are merged by
+   interleave refinement: the interleave starts unrefined, each round sorts it
+   stably by the symbol before and so fixes one more symbol of the order, and
+   after as many rounds as a window has symbols the groups that were never parted
+   are the intervals of a common prefix of a window.  Parted by minimizer and by
+   its place, they are the repeated strings.  No suffixes are sorted again.
 3. What is covered in each document is the union of its repeated windows.
 
 Only documents with something repeated are joined with their text.  A Bloom
@@ -30,8 +35,6 @@ are kept by ``remove_repeats`` (one named like an output is replaced).
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,13 +42,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafgraph.llm.blocks import arrow_batches, bucket_bounds, buckets_of, longs, mixed, packed, runs, text_blocks, trim, unpacked
+from leafgraph.llm.blocks import arrow_batches, bucket_bounds, buckets_of, bytes_read, longs, mixed, packed, runs, text_and_offsets, text_blocks, trim, unpacked
 from leafgraph.llm.store import stored
 
 LENGTH, CORE = 50, 20
 SHARD = 2048
 #: Bytes of text looked at together; a block needs about a hundred times that in arrays.
 BLOCK = 2 << 20
+#: The same where the rows carry what was found as well.
+CARRIED = 1 << 20
+#: Bytes read for each group of documents that answers come together in.
+GROUP = 32 << 20
 BLOOM_WORDS, MOST_WORDS = 1 << 17, 1 << 22
 #: A place in a block has so many bits beside a hash; longer texts take another way to the same places.
 PLACE_BITS = 24
@@ -128,13 +135,25 @@ def minimizers(data: np.ndarray, offsets: np.ndarray, length: int, core: int) ->
     return at, first, n, mixed(h[at]), context, owner, sides
 
 
-def pair_keys(key: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def pair_keys(key: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """One number for a context."""
+    return mixed(key + context * _BASE)
+
+
+def pairs_in(pairs: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """One number for a context of a document in a block."""
-    return mixed(mixed(key + context * _BASE) + doc.astype(np.uint64) * _INVERSE)
+    return mixed(pairs + doc.astype(np.uint64) * _INVERSE)
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in a column of blobs, and the row of each."""
+    data, offsets = text_and_offsets(column)
+    return np.frombuffer(data.tobytes(), np.uint64), np.repeat(np.arange(len(column)), np.diff(offsets) // 8)
 
 
 _ENTRIES = "bucket int, keys binary, contexts binary, sides binary, owners binary, docs binary"
-_STATES = "doc_id long, keys binary, contexts binary, states binary"
+_STATES = "group int, docs binary, pairs binary, states binary"
+_FOUND = "doc_id long, whole binary, asked binary"
 
 
 def scatter(docs: DataFrame, length: int, core: int, buckets: int) -> DataFrame:
@@ -157,8 +176,42 @@ def scatter(docs: DataFrame, length: int, core: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, _ENTRIES)
 
 
-def judge(table: pa.Table) -> pa.Table:
-    """For each document its contexts that repeat (state 0) or must be compared (state 1)."""
+def judge(groups: int):
+    """For each group of documents their contexts that repeat (state 0) or must be compared (state 1)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        docs, pairs, states = judged(table)
+        group = (mixed(docs.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
+        order = np.lexsort((docs.view(np.uint64), group))
+        group, docs, pairs, states = group[order], docs[order].view(np.uint64), pairs[order], states[order]
+        cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(group) else np.zeros(1, np.int64)
+        spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+        blobs = lambda x, form: pa.array([form(x[a:b]) for a, b in spans], pa.binary())
+        trim()
+        return pa.table({"group": pa.array(group[cut[:-1]], pa.int32()), "docs": blobs(docs, packed), "pairs": blobs(pairs, np.ndarray.tobytes), "states": blobs(states, np.ndarray.tobytes)})
+
+    return run
+
+
+def gather(table: pa.Table) -> pa.Table:
+    """A row for each document of a group: its contexts that repeat, and those that must be compared."""
+    docs = np.concatenate([unpacked(x) for x in table["docs"].to_pylist()]).view(np.int64)
+    pairs, states = (np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()]) for c, t in (("pairs", np.uint64), ("states", np.uint8)))
+    order = np.lexsort((states, docs))
+    docs, pairs, states = docs[order], pairs[order], states[order]
+    first = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
+    columns = []
+    for state in (0, 1):
+        some = states == state
+        bounds = np.concatenate([[0], np.cumsum(np.add.reduceat(some, first, dtype=np.int64))]) * 8
+        columns.append(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(pairs[some].tobytes())]))
+    ids = pa.array(docs[first], pa.int64())
+    trim()
+    return pa.table({"doc_id": ids, "whole": columns[0], "asked": columns[1]})
+
+
+def judged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, context and state of what a bucket finds."""
     keys, contexts, docs, sides = [], [], [], []
     for k, c, s, o, d in zip(*(table[x].to_pylist() for x in ("keys", "contexts", "sides", "owners", "docs")), strict=True):
         sides.append(np.frombuffer(s, np.uint32))
@@ -186,25 +239,28 @@ def judge(table: pa.Table) -> pa.Table:
         agree |= (times[of] > 1) & (side < 1 << 15)
     compare[some[~agree]] = False
     keep = full | compare
-    keys, contexts, docs, state = keys[keep], contexts[keep], docs[keep], compare[keep].astype(np.uint8)
-    order = np.argsort(docs, kind="stable")
-    keys, contexts, docs, state = keys[order], contexts[order], docs[order], state[order]
-    cut = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1], True]) if len(docs) else np.zeros(1, np.int64)
-    spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-    slices = lambda x: pa.array([x[a:b].tobytes() for a, b in spans], pa.binary())
-    trim()
-    return pa.table({"doc_id": pa.array(docs[cut[:-1]], pa.int64()), "keys": slices(keys), "contexts": slices(contexts), "states": slices(state)})
+    return docs[keep], pair_keys(keys[keep], contexts[keep]), compare[keep].astype(np.uint8)
+
+
+def symbols_of(strings: list[bytes], cores: list[int], core: int, stand: int) -> list[bytes]:
+    """Two strings of two-byte symbols for each string, from its first and from its second letter; ``stand`` letters stand for its core."""
+    out = []
+    for s, c in zip(strings, cores, strict=True):
+        s = s[:c] + b"\xff" * stand + s[c + core :]
+        out += [s[: len(s) & ~1], s[1 : 1 + (len(s) - 1 & ~1)]]
+    return out
 
 
 def transform(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The Burrows-Wheeler transform of a shard (0 for an end), with the string and the offset of each suffix.
 
-    Suffixes are ordered by their first ``length`` symbols at least; ends are smaller than bytes and ordered by string.
+    Suffixes are ordered by their first ``length`` symbols of two bytes at least; ends are smaller than symbols and ordered by string.
     """
-    sizes = np.array([len(s) for s in strings], np.int64) + 1
+    sizes = np.array([len(s) for s in strings], np.int64) // 2 + 1
     first = np.cumsum(sizes) - sizes
-    text = np.zeros(int(sizes.sum()), np.uint16)
-    text[np.arange(len(text))[~np.isin(np.arange(len(text)), first + sizes - 1)]] = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + 1
+    text, inner = np.zeros(int(sizes.sum()), np.uint32), np.ones(int(sizes.sum()), bool)
+    inner[first + sizes - 1] = False
+    text[inner] = np.frombuffer(b"".join(strings), np.uint16).astype(np.uint32) + 1
     string = np.repeat(np.arange(len(strings)), sizes)
     offset = np.arange(len(text)) - first[string]
     rank = np.where(text > 0, text.astype(np.int64) + len(strings), string)
@@ -223,7 +279,7 @@ def transform(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray
 
 
 def merged_intervals(shards: list[list[bytes]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """String (counted over all shards), offset and interval of every suffix that begins with a repeated string of ``length`` bytes."""
+    """String (counted over all shards), offset and interval of every suffix that begins with a repeated string of ``length`` symbols of two bytes."""
     parts = [transform(s, length) for s in shards]
     symbols = np.concatenate([p[0] for p in parts])
     base = np.cumsum([0, *(len(s) for s in shards)])
@@ -239,7 +295,7 @@ def merged_intervals(shards: list[list[bytes]], length: int) -> tuple[np.ndarray
         here = np.empty_like(symbols)
         here[by_shard] = symbols
         inner = np.flatnonzero(here > 0)
-        symbol = (here[inner] - 1).astype(np.uint8)
+        symbol = (here[inner] - 1).astype(np.uint16)
         by_symbol = np.argsort(symbol, kind="stable")
         order, symbol = inner[by_symbol], symbol[by_symbol]
         old = group[order]
@@ -252,33 +308,64 @@ def merged_intervals(shards: list[list[bytes]], length: int) -> tuple[np.ndarray
     return strings[several], offsets[several], interval[several]
 
 
+def sides_of(strings: list[bytes], cores: np.ndarray, core: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes and hashes of what lies left and right of the cores: a column for each number of bytes from the core on, up to ``width``."""
+    sizes = np.array([len(s) for s in strings], np.int64)
+    data, first = np.frombuffer(b"".join(strings), np.uint8), np.cumsum(sizes) - sizes
+    out = []
+    for size, start, step in ((cores, first + cores - 1, -1), (sizes - cores - core, first + cores + core, 1)):
+        made = np.zeros((len(strings), width + 1), np.uint64)
+        for k in range(width):
+            some = size > k
+            made[:, k + 1] = made[:, k]
+            made[some, k + 1] = mixed(made[some, k] * _BASE + _LETTERS[data[start[some] + step * k]])
+        out += [size, made]
+    return tuple(out)
+
+
+def may_share(strings: list[bytes], keys: np.ndarray, cores: np.ndarray, length: int, core: int) -> np.ndarray:
+    """Which contexts may share a window with another of their minimizer.
+
+    Left and right of the core two that do agree for the rest of a window together: for a multiple of ``step`` on the left,
+    and for what is left of the rest without ``step - 1`` on the right.
+    """
+    width = length - core
+    step = max(1, width // 6)
+    left, on_left, right, on_right = sides_of(strings, cores, core, width)
+    out = np.zeros(len(strings), bool)
+    for a in range(0, width + 1, step):
+        b = max(0, width - a - step + 1)
+        some = np.flatnonzero((left >= a) & (right >= b))
+        _, of, times = np.unique(mixed(mixed(keys[some] + on_left[some, a]) + on_right[some, b] * _BASE), return_inverse=True, return_counts=True)
+        out[some[times[of] > 1]] = True
+    return out
+
+
 def compare(length: int, core: int):
     """For each context of a unit, a mask of its windows that a document of a smaller id has too."""
+    stand = 2 - (length - core) % 2  # letters for a core, so that a window is a whole number of symbols
+    rounds = (length - core + stand) // 2
 
     def run(table: pa.Table) -> pa.Table:
-        # two contexts of a minimizer share a window only if they agree for half of what a window holds beside the core, on one side
-        half = (length - core + 1) // 2
-        strings, keys, cores = table["bytes"].to_pylist(), table["key"].to_pylist(), table["core"].to_pylist()
-        left = [(k, s[c - half : c]) if c >= half else None for k, s, c in zip(keys, strings, cores, strict=True)]
-        right = [(k, s[c + core : c + core + half], 1) if len(s) >= c + core + half else None for k, s, c in zip(keys, strings, cores, strict=True)]
-        seen = Counter(left)
-        seen.update(right)
-        seen[None] = 0
-        table = table.filter(pa.array([seen[a] > 1 or seen[b] > 1 for a, b in zip(left, right, strict=True)], pa.bool_())).sort_by([("key", "ascending"), ("doc_id", "ascending")])
-        del left, right, seen
-        docs, strings = table["doc_id"].to_numpy(), table["bytes"].to_pylist()
+        table = table.filter(pa.array(may_share(table["bytes"].to_pylist(), table["key"].to_numpy().view(np.uint64), table["core"].to_numpy().astype(np.int64), length, core)))
+        table = table.sort_by([("key", "ascending"), ("doc_id", "ascending")])
+        docs, keys, cores, strings = table["doc_id"].to_numpy(), table["key"].to_numpy(), table["core"].to_numpy(), table["bytes"].to_pylist()
         mask = np.zeros(len(docs), np.uint64)
-        string, offset, interval = merged_intervals([strings[i : i + SHARD] for i in range(0, len(strings), SHARD)], length) if strings else (docs, docs, docs)
-        if len(string):
-            order = np.lexsort((docs[string], interval))
+        shards = [symbols_of(strings[i : i + SHARD], cores[i : i + SHARD].tolist(), core, stand) for i in range(0, len(strings), SHARD)]
+        del strings
+        if shards:
+            string, offset, interval = merged_intervals(shards, rounds)
+            string, offset = string // 2, 2 * offset + string % 2
+            order = np.lexsort((docs[string], cores[string] - offset, keys[string], interval))
             string, offset, interval = string[order], offset[order], interval[order]
-            first = np.flatnonzero(np.r_[True, interval[1:] != interval[:-1]])
+            key, place = keys[string], cores[string] - offset
+            first = np.flatnonzero(np.r_[True, (interval[1:] != interval[:-1]) | (key[1:] != key[:-1]) | (place[1:] != place[:-1])]) if len(string) else np.zeros(0, np.int64)
             least = np.repeat(docs[string[first]], np.diff(np.r_[first, len(interval)]))
             ok = docs[string] > least
             np.bitwise_or.at(mask, string[ok], np.uint64(1) << offset[ok].astype(np.uint64))
         some = pa.array(mask > 0)
         trim()
-        return table.select(["doc_id", "key", "context"]).append_column("mask", pa.array(mask.view(np.int64))).filter(some)
+        return table.select(["doc_id", "pair"]).append_column("mask", pa.array(mask.view(np.int64))).filter(some)
 
     return run
 
@@ -318,56 +405,49 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, text
     buckets = buckets_of(docs, 2)
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    states = stored(scatter(rows, length, core, buckets).groupBy("bucket").applyInArrow(judge, _STATES), "suffix-states")
-    per_doc = states.groupBy("doc_id").agg(F.collect_list(F.struct("keys", "contexts", "states")).alias("found"))
-    asked = bloom(states.where("instr(hex(states), '01') > 0").select("doc_id").distinct())
+    groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_read(docs) // GROUP))
+    found = stored(scatter(rows, length, core, buckets).groupBy("bucket").applyInArrow(judge(groups), _STATES).groupBy("group").applyInArrow(gather, _FOUND), "suffix-states")
+    asking = found.where("octet_length(asked) > 0").select("doc_id", "asked")
+    asked = bloom(asking)
 
     def send(batches):
-        for part, data, offsets in text_blocks(batches, limit=BLOCK):
+        for part, data, offsets in text_blocks(batches, limit=CARRIED):
             ids = longs(part, "doc_id")
             at, low, n, key, context, owner, _ = minimizers(data, offsets, length, core)
-            wanted = [np.zeros(0, np.uint64)]
-            for i, found in enumerate(part.column(2).to_pylist()):
-                keys, contexts, state = joined(found)
-                wanted.append(pair_keys(keys[state == 1], contexts[state == 1], np.full(int((state == 1).sum()), i)))
-            pairs = pair_keys(key, context, owner)
-            one = np.flatnonzero(np.isin(pairs, np.concatenate(wanted)))
+            made = pair_keys(key, context)
+            pairs = pairs_in(made, owner)
+            one = np.flatnonzero(np.isin(pairs, pairs_in(*flat(part.column(2)))))
             one = one[np.unique(pairs[one], return_index=True)[1]]
             if len(one):
                 raw = [data[a:b].tobytes() for a, b in zip(low[one].tolist(), (low + n - 1 + length)[one].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[owner[one]]), pa.array(key[one].view(np.int64)), pa.array(context[one].view(np.int64)), pa.array((at - low)[one].astype(np.int32)), pa.array(raw, pa.binary())], names=["doc_id", "key", "context", "core", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[owner[one]]), pa.array(key[one].view(np.int64)), pa.array(made[one].view(np.int64)), pa.array((at - low)[one].astype(np.int32)), pa.array(raw, pa.binary())], names=["doc_id", "key", "pair", "core", "bytes"])
             trim()
 
-    sent = rows.where(maybe(asked)).join(per_doc.where("exists(found, x -> instr(hex(x.states), '01') > 0)"), "doc_id").select("doc_id", "text", "found").mapInArrow(send, "doc_id long, key long, context long, core int, bytes binary")
-    masks = stored(sent.groupBy(F.pmod(F.xxhash64("key"), F.lit(2 * buckets)).alias("unit")).applyInArrow(compare(length, core), "doc_id long, key long, context long, mask long"), "suffix-masks")
-    masks_of = masks.groupBy("doc_id").agg(F.collect_list(F.struct("key", "context", "mask")).alias("masks"))
-    full = per_doc.select("doc_id", F.expr("filter(found, x -> instr(hex(x.states), '00') > 0)").alias("found")).where("size(found) > 0")
-    marks = stored(full.join(masks_of, "doc_id", "full").select("doc_id", "found", "masks"), "suffix-marks")
+    sent = rows.where(maybe(asked)).join(asking, "doc_id").select("doc_id", "text", "asked").mapInArrow(send, "doc_id long, key long, pair long, core int, bytes binary")
+    masks = stored(sent.groupBy(F.pmod(F.xxhash64("key"), F.lit(2 * buckets)).alias("unit")).applyInArrow(compare(length, core), "doc_id long, pair long, mask long"), "suffix-masks")
+    masks_of = masks.groupBy("doc_id").agg(F.collect_list(F.struct("pair", "mask")).alias("masks"))
+    full = found.where("octet_length(whole) > 0").select("doc_id", "whole")
+    marks = stored(full.join(masks_of, "doc_id", "full").select("doc_id", "whole", "masks"), "suffix-marks")
     hit = bloom(marks.select("doc_id"))
     schema = T.StructType([*docs.schema.fields, T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())])
     names = docs.columns
 
     def cut_out(batches):
-        for part, data, offsets in text_blocks(batches, text, BLOCK):
+        for part, data, offsets in text_blocks(batches, text, CARRIED):
             where = {c: part.schema.get_field_index(c) for c in part.schema.names}
-            founds, masks = part.column(where["__found"]), part.column(where["__masks"])
-            if founds.null_count == masks.null_count == part.num_rows:
+            wholes, masks = part.column(where["__whole"]), part.column(where["__masks"])
+            if wholes.null_count == masks.null_count == part.num_rows:
                 yield unchanged(part, data, offsets, [part.column(where[c]) for c in names])
                 continue
             _, low, n, key, context, owner, _ = minimizers(data, offsets, length, core)
-            pairs = pair_keys(key, context, owner)
-            full = [np.zeros(0, np.uint64)]
-            for i, found in enumerate(founds.to_pylist()):
-                if found:
-                    keys, contexts, state = joined(found)
-                    full.append(pair_keys(keys[state == 0], contexts[state == 0], np.full(int((state == 0).sum()), i)))
+            pairs = pairs_in(pair_keys(key, context), owner)
             marked = masks.flatten()
-            k, c, m = (marked.field(x).to_numpy().view(np.uint64) for x in ("key", "context", "mask"))
-            wanted = pair_keys(k, c, np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(masks), 0).to_numpy()))
+            k, m = (marked.field(x).to_numpy().view(np.uint64) for x in ("pair", "mask"))
+            wanted = pairs_in(k, np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(masks), 0).to_numpy()))
             order = np.argsort(wanted)
             wanted, m = wanted[order], m[order]
             edge = np.zeros(len(data) + 1, np.int32)
-            whole = np.isin(pairs, np.concatenate(full))
+            whole = np.isin(pairs, pairs_in(*flat(wholes)))
             np.add.at(edge, low[whole], 1)
             np.subtract.at(edge, (low + n - 1 + length)[whole], 1)
             some = np.flatnonzero(np.isin(pairs, wanted))
@@ -399,17 +479,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, text
         for part, data, offsets in text_blocks(batches, text, BLOCK):
             yield unchanged(part, data, offsets, part.columns)
 
-    marks = marks.select(F.col("doc_id").alias("__id"), F.col("found").alias("__found"), F.col("masks").alias("__masks"))
+    marks = marks.select(F.col("doc_id").alias("__id"), F.col("whole").alias("__whole"), F.col("masks").alias("__masks"))
     chosen = docs.withColumn("__hit", F.coalesce(maybe(hit), F.lit(False)))
     touched = chosen.where("__hit").drop("__hit").join(marks, F.col("doc_id") == F.col("__id"), "left").drop("__id")
     return touched.mapInArrow(cut_out, schema).unionByName(chosen.where("not __hit").drop("__hit").mapInArrow(leave, schema))
 
 
-def joined(found: list | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    found = found or []
-    return tuple(np.frombuffer(b"".join(f[name] for f in found), t) for name, t in (("keys", np.uint64), ("contexts", np.uint64), ("states", np.uint8)))
-
-
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

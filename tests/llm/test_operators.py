@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,6 +233,42 @@ def test_suffixes_equal_brute_force(docs, none, rows):
     assert suffixes.remove_repeats(none).count() == 0
 
 
+def test_suffix_answers_come_by_group():
+    """A bucket answers with a row for each group of documents, however many documents it has, and a group has one for each document."""
+    data = np.frombuffer(b"".join(b"%04d" % i + b" the quick brown fox jumps over the lazy dog and runs on to the far side of the hill" * 2 for i in range(300)), np.uint8)
+    offsets = np.linspace(0, len(data), 301).astype(np.int64)
+    _, _, _, key, context, owner, sides = suffixes.minimizers(data, offsets, 50, 20)
+    order = np.argsort(key, kind="stable")
+    entry = [suffixes.packed(key[order]), context[order].tobytes(), sides[order].tobytes(), owner[order].astype(np.uint32).tobytes(), np.arange(300).tobytes()]
+    got = suffixes.judge(4)(pa.table({n: pa.array([x], pa.binary()) for n, x in zip(("keys", "contexts", "sides", "owners", "docs"), entry, strict=True)}))
+    assert sorted(got["group"].to_pylist()) == [0, 1, 2, 3]
+    found = suffixes.gather(got)
+    assert sorted(found["doc_id"].to_pylist()) == sorted(set(found["doc_id"].to_pylist())) and found.num_rows >= 299
+
+
+@pytest.mark.parametrize("length, core", [(50, 20), (41, 20), (30, 8)])
+def test_suffix_merge_reads_two_letters_at_once(length, core):
+    """The masks of contexts are those of brute force; a merge has a round for each two letters, the core being one or two."""
+    rng = np.random.default_rng(length)
+    rows, most = [], length - core
+    cores = [rng.integers(0, 256, core).astype(np.uint8).tobytes() for _ in range(6)]
+    base = [rng.integers(97, 99, most).astype(np.uint8).tobytes() for _ in range(3)] + [b"\xff" * most]
+    for i in range(500):
+        k, left, right = int(rng.integers(6)), base[rng.integers(4)], base[rng.integers(4)]
+        left = bytes(rng.integers(97, 99, most // 3).astype(np.uint8)) + left[most // 3 :]
+        a = int(rng.integers(most + 1))
+        rows.append({"doc_id": i % 400, "key": k, "pair": i, "core": a, "bytes": left[most - a :] + cores[k] + right[: most - int(rng.integers(a + 1))]})
+    seen = {}
+    for r in rows:
+        for w in range(len(r["bytes"]) - length + 1):
+            at = (r["key"], r["core"] - w, r["bytes"][w : w + length])
+            seen[at] = min(seen.get(at, r["doc_id"]), r["doc_id"])
+    want = {r["pair"]: sum(1 << w for w in range(len(r["bytes"]) - length + 1) if seen[r["key"], r["core"] - w, r["bytes"][w : w + length]] < r["doc_id"]) for r in rows}
+    got = suffixes.compare(length, core)(pa.Table.from_pylist(rows)).to_pylist()
+    assert {r["pair"]: r["mask"] for r in got} == {p: m for p, m in want.items() if m} and len(got) > 50
+    assert len(suffixes.symbols_of([b"a" * 80], [30], 20, 2)[0]) // 2 == 31
+
+
 class BruteKatz:
     """The same model by dictionaries: probabilities of any word after any history, evaluated recursively."""
 
