@@ -86,13 +86,26 @@ def camel(rule: Column) -> Column:
     return F.array_join(F.transform(F.split(rule, "-"), lambda x, i: F.when(i == 0, x).otherwise(F.initcap(x))), "")
 
 
-def sarif(findings: DataFrame) -> DataFrame:
+def sarif_lines(findings: DataFrame) -> DataFrame:
+    """The SARIF document as lines: what comes before the results (section 0), each result (1), and the end (2).
+
+    A result begins with a comma, but for the first, which is made with what equals it as one line.
+    """
     region = F.when(F.col("line") > 0, F.struct(F.col("line").alias("startLine")))
     place = F.when(F.col("path") != "", F.array(F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))))
-    result = F.struct(F.col("rule").alias("ruleId"), F.col("severity").alias("level"), F.struct(F.col("message").alias("text")).alias("message"), place.alias("locations"))
+    result = F.to_json(F.struct(F.col("rule").alias("ruleId"), F.col("severity").alias("level"), F.struct(F.col("message").alias("text")).alias("message"), place.alias("locations")))
+    made = findings.select(F.concat_ws("\u0000", F.lpad(F.col("family").cast("string"), 9, "0"), "path", "message").alias("key"), result.alias("line"))
+    first = made.agg(F.min(F.struct("key", "line")).alias("first"))
+    each = made.crossJoin(F.broadcast(first)).withColumn("is_first", F.struct("key", "line") == F.col("first"))  # one row beside all
+    begin = each.where("is_first").groupBy("key", "line").count().select("key", F.array_join(F.array_repeat("line", F.col("count").cast("int")), ",\n").alias("line"))
     rules = findings.agg(F.array_sort(F.collect_set(F.struct(F.col("rule").alias("id"), camel(F.col("rule")).alias("name")))).alias("rules"))
-    run = F.struct(F.struct(F.struct(F.lit(TOOL).alias("name"), "rules").alias("driver")).alias("tool"), F.col("made").alias("results"))
-    return _sorted(findings, result).crossJoin(rules).select(F.to_json(F.struct(F.lit(SARIF_SCHEMA).alias("$schema"), F.lit(SARIF_VERSION).alias("version"), F.array(run).alias("runs"))).alias("report"))  # one row on each side
+    driver = F.to_json(F.struct(F.struct(F.lit(TOOL).alias("name"), "rules").alias("driver")))
+    head = F.concat(F.lit(f'{{"$schema":"{SARIF_SCHEMA}","version":"{SARIF_VERSION}","runs":[{{"tool":'), driver, F.lit(',"results":['))
+    return both(block(rules, 0, [head]), row(begin, 1, F.col("key"), 0, F.col("line")), row(each.where("not is_first"), 1, F.col("key"), 1, F.concat(F.lit(","), "line")), block(rules, 2, [F.lit("]}]}")]))
+
+
+def sarif(findings: DataFrame) -> DataFrame:
+    return text_of(sarif_lines(findings))
 
 
 def exit_code(findings: DataFrame, fail_on: str = "error") -> int:

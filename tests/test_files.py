@@ -74,6 +74,18 @@ def test_reports(spark):
     assert [reports.exit_code(rows.where("severity = 'warning'"), x) for x in ("never", "warning", "error")] == [0, 1, 0]
 
 
+def test_sarif_lines(spark):
+    """A SARIF document of any size is lines, one for each result, whose text is JSON also where findings repeat; without findings its results are empty."""
+    schema = "family int, rule string, severity string, path string, message string, line int"
+    data = [(5, "orphan-file", "warning", f"{i}.md", "al]}one,", None) for i in range(40)] + 3 * [(1, "missing-reference", "error", "b.md", "gone", 2)] + 2 * [(6, "orphan-file", "warning", "9.md", "x", None)]
+    lines = reports.sarif_lines(spark.createDataFrame(data, schema))
+    assert lines.count() == 1 + 1 + 42 + 1
+    run = json.loads(reports.text_of(lines).first()[0])["runs"][0]
+    assert [(x["ruleId"], x["message"]["text"]) for x in run["results"]] == [(r[1], r[4]) for r in sorted(data, key=lambda r: (r[0], r[3], r[4]))]
+    assert [r["id"] for r in run["tool"]["driver"]["rules"]] == ["missing-reference", "orphan-file"]
+    assert json.loads(reports.sarif(spark.createDataFrame([], schema)).first()[0])["runs"][0]["results"] == []
+
+
 def test_streaming_ledger(spark, tmp_path):
     (tmp_path / "in").mkdir()
     seen = [("a", "add", "fragile"), ("a", "add", "deprecated"), ("a", "clear", "fragile"), ("b", "add", "fragile"), ("b", "clear", "all")]
