@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafgraph.llm.blocks import arrow_batches, bucket_bounds, buckets_of, from_planes, mixed, packed, planes, text_blocks, trim, unpacked, word_hashes
+from leafgraph.llm.blocks import BLOCK_BYTES, arrow_batches, bucket_bounds, buckets_of, from_planes, mixed, packed, planes, text_and_offsets, text_blocks, trim, unpacked, word_hashes
 from leafgraph.llm.store import scratch, stored
 
 KATZ, REST, ORDER = 5, 0.5, 2
@@ -43,9 +43,46 @@ _END = mixed(np.array([1], np.uint64))[0]
 #: The history of nothing but start marks, by its length.
 _START = mixed(np.arange(2, 18, dtype=np.uint64))
 _ODD = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+#: What an end token counts for in the size of a chunk.
+_END_BYTES = 8
 _CHUNK = "chunk long, docs array<long>, held binary, sizes binary, codes binary, keys binary, counts binary"
 
 
+def full_blocks(batches, limit: int = BLOCK_BYTES):
+    """Blocks as ``text_blocks`` gives them, filled across batches: what a batch leaves goes on with the next one, as a small chunk repeats more keys."""
+
+    def joined():
+        rows = pa.Table.from_batches(pending).combine_chunks().to_batches()[0]
+        return rows, *text_and_offsets(rows.column(rows.schema.get_field_index("text")))
+
+    pending, size = [], 0
+    for rows, data, _ in text_blocks(batches, limit=limit // 16):
+        more = len(data) + _END_BYTES * rows.num_rows
+        if pending and size + more > limit:
+            yield joined()
+            pending, size = [], 0
+        pending.append(rows)
+        size += more
+    if pending:
+        yield joined()
+
+
+def coded(x: np.ndarray) -> bytes:
+    """Floats as numbers in the list of the distinct ones, which are few where counts are small, or as they are if that is shorter."""
+    values, index = np.unique(x, return_inverse=True)
+    wide = np.min_scalar_type(max(len(values) - 1, 0))
+    if 4 + 8 * len(values) + wide.itemsize * len(x) < 8 * len(x):
+        return np.uint32(len(values)).tobytes() + values.tobytes() + planes(index.astype(wide))
+    return np.uint32(0).tobytes() + x.tobytes()
+
+
+def from_coded(raw: bytes) -> np.ndarray:
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    if not n:
+        return np.frombuffer(raw, np.float64, offset=4)
+    return np.frombuffer(raw, np.float64, n, 4)[from_planes(raw[4 + 8 * n :], np.min_scalar_type(n - 1))]
+
+
 def lay_out(docs: DataFrame) -> DataFrame:
     """Chunks of doc_id, text and held (whether the document is not learned from)."""
 
@@ -53,7 +90,7 @@ def lay_out(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 33
-        for rows, data, offsets in text_blocks(batches):
+        for rows, data, offsets in full_blocks(batches):
             tokens, owner = word_hashes(data, offsets)
             sizes = np.bincount(owner, minlength=rows.num_rows) + 1
             ends = np.cumsum(sizes) - 1
@@ -114,7 +151,7 @@ def requests(chunks: DataFrame, columns: list[str], make, buckets: int, schema:
                 cut = bucket_bounds(keys, buckets)
                 some = np.flatnonzero(np.diff(cut)).tolist()
                 spans = [slice(cut[i], cut[i + 1]) for i in some]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([row["chunk"]] * len(some), pa.int64()), pa.array([packed(keys[s]) for s in spans], pa.binary()), *(pa.array([planes(v[s]) for s in spans], pa.binary()) for v in values)], names=kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([row["chunk"]] * len(some), pa.int64()), pa.array([packed(keys[s]) for s in spans], pa.binary()), *(pa.array([(coded if v.dtype == np.float64 else planes)(v[s]) for s in spans], pa.binary()) for v in values)], names=kinds)
             trim()
 
     return chunks.select(*columns).mapInArrow(run, schema)
@@ -263,7 +300,7 @@ def scored(chunks: DataFrame, starts: int, parts: int, order: int) -> DataFrame:
     def known(row: dict, grams: Grams, upto: int) -> tuple[list, list]:
         """Counts of all orders up to one, and weights of those below it, as floats."""
         counts = [np.zeros(0)] + [counts_of(row[f"c{k}"], k > 1).astype(np.float64) for k in range(1, upto + 1)]
-        weights = [None, None] + [np.concatenate([np.frombuffer(x, np.float64).reshape(2, -1) for x in answer(row[f"w{k}"])] or [np.zeros((2, 0))], axis=1) if row.get(f"w{k}") else np.zeros((2, 0)) for k in range(2, upto + 1)]
+        weights = [None, None] + [np.concatenate([from_coded(x).reshape(2, -1) for x in answer(row[f"w{k}"])] or [np.zeros((2, 0))], axis=1) if row.get(f"w{k}") else np.zeros((2, 0)) for k in range(2, upto + 1)]
         return counts, weights
 
     asked = requests(chunks, ["chunk", "keys", "counts"], lambda row: (unpacked(row["keys"]), from_planes(row["counts"], np.uint64)), parts, "bucket int, chunk long, keys binary, counts binary")
@@ -319,12 +356,12 @@ def weigh(table: pa.Table) -> pa.Table:
     keys = [unpacked(k) for k in table["keys"].to_pylist()]
     sizes = [len(k) for k in keys]
     every = np.concatenate(keys)
-    seen, back = (np.concatenate([from_planes(x, np.float64) for x in table[c].to_pylist()]) for c in ("seen", "back"))
+    seen, back = (np.concatenate([from_coded(x) for x in table[c].to_pylist()]) for c in ("seen", "back"))
     want = np.concatenate([from_planes(x, np.uint8) for x in table["want"].to_pylist()])
     _, of = np.unique(every, return_inverse=True)
     left, right = np.bincount(of, seen)[of], np.bincount(of, back)[of]
     ends = np.cumsum(sizes)
-    reply = [np.stack([left[e - n : e], right[e - n : e]])[:, want[e - n : e] > 0].tobytes() for n, e in zip(sizes, ends, strict=True)]
+    reply = [coded(np.stack([left[e - n : e], right[e - n : e]])[:, want[e - n : e] > 0].ravel()) for n, e in zip(sizes, ends, strict=True)]
     return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "reply": pa.array(reply, pa.binary()), "facts": pa.nulls(len(sizes), pa.list_(pa.int64()))})
 
 

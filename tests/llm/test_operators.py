@@ -336,6 +336,21 @@ def test_katz_equals_recursion_over_dictionaries(spark, none, order):
     assert katz.score(none, held, order).count() == 0
 
 
+def test_katz_chunks_are_filled_across_batches():
+    """However rows are dealt over batches, a chunk is full before the next one begins, in the order of the rows; sums keep every bit."""
+    texts = ["w" * 1000 if i % 3 else None for i in range(300)]
+    whole = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "text": texts})
+    for size in (7, 300):
+        got = list(katz.full_blocks([whole.slice(i, size) for i in range(0, 300, size)], 50_000))
+        assert [x for rows, _, _ in got for x in rows.column(0).to_pylist()] == list(range(300))
+        assert b"".join(d.tobytes() for _, d, _ in got) == "".join(t or "" for t in texts).encode() and all(o[-1] == len(d) for _, d, o in got)
+        assert len(got) <= 6 and all(len(d) <= 50_000 for _, d, _ in got)
+    assert list(katz.full_blocks([whole.slice(0, 0)])) == []
+    few, many = np.array([0.1, 2.5, 0.1, 1e-300] * 300), np.random.default_rng(1).random(500)
+    assert len(katz.coded(few)) < 8 * len(few) / 4 and len(katz.coded(many)) == 8 * len(many) + 4
+    assert all(np.array_equal(katz.from_coded(katz.coded(x)), x) for x in (few, many, few[:0], few[:1]))
+
+
 def test_katz_beats_the_base(docs):
     got = [r for r in katz.score(docs, F.col("doc_id") % 5 == 1).collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
