@@ -280,21 +280,22 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER) -> DataFrame:
     try:
         lay_out(docs).write.format("parquet").bucketBy(buckets, "chunk").saveAsTable(name)
         with scratch(spark):
-            return stored(scored(spark.table(name), docs.where("not held").count(), parts, order), "katz-scores", result=True)
+            return stored(scored(spark.table(name), docs.where("not held").count(), buckets, parts, order), "katz-scores", result=True)
     finally:
         spark.sql(f"drop table if exists {name}")
 
 
-def scored(chunks: DataFrame, starts: int, parts: int, order: int) -> DataFrame:
-    """The scores of laid out chunks, ``starts`` documents of which are learned from."""
+def scored(chunks: DataFrame, starts: int, buckets: int, parts: int, order: int) -> DataFrame:
+    """The scores of chunks laid out in ``buckets``, ``starts`` documents of which are learned from, by exchanges of ``parts``."""
     counts_of = lambda replies, shift: np.concatenate([from_planes(x, np.uint64) for x in answer(replies)] or [np.zeros(0, np.uint64)]) >> np.uint64(shift)
     laid = ["codes", "sizes", "held", "keys"]
     tables: dict[str, DataFrame] = {}
 
     def with_answers(columns: list[str], names: list[str]) -> DataFrame:
         out = chunks.select("chunk", *columns)
-        for a in names:
-            out = out.join(tables[a].groupBy("chunk").agg(F.collect_list(F.struct("bucket", "reply")).alias(a)), "chunk", "left")
+        for a in names:  # dealt as the chunks are: by another number than theirs, the session's, each would move a second time
+            replies = tables[a].repartition(buckets, "chunk").groupBy("chunk")
+            out = out.join(replies.agg(F.collect_list(F.struct("bucket", "reply")).alias(a)), "chunk", "left")
         return out
 
     def known(row: dict, grams: Grams, upto: int) -> tuple[list, list]:

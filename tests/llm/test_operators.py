@@ -351,6 +351,19 @@ def test_katz_chunks_are_filled_across_batches():
     assert all(np.array_equal(katz.from_coded(katz.coded(x)), x) for x in (few, many, few[:0], few[:1]))
 
 
+def test_katz_moves_each_answer_once(docs, monkeypatch):
+    """Chunks in 7 buckets of a session with 4 shuffle partitions: each of the 2 and 3 answers is dealt by chunk once, to the chunks' buckets."""
+    plans, kept = [], katz.stored
+    monkeypatch.setattr(katz, "buckets_of", lambda df, times=1: 7 * times)
+    monkeypatch.setattr(katz, "stored", lambda df, name, **k: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), kept(df, name, **k))[1])
+    got = katz.score(docs, F.col("doc_id") % 5 == 1)
+    monkeypatch.undo()
+    dealt = {name: re.findall(r"Exchange hashpartitioning\(chunk#\d+L?, (\d+)\)", plan) for name, plan in plans}
+    assert dealt == {"katz-1": [], "katz-2": [], "katz-weights-2": ["7"] * 2, "katz-scores": ["7"] * 3}
+    plain = katz.score(docs, F.col("doc_id") % 5 == 1)
+    assert np.allclose(*(sorted((r.doc_id, r.score, r.base_score) for r in x.collect()) for x in (got, plain)), rtol=1e-12)
+
+
 def test_katz_beats_the_base(docs):
     got = [r for r in katz.score(docs, F.col("doc_id") % 5 == 1).collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
